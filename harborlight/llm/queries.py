@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, secret_scan, warc
+from . import bpe, language_id, packing, quality_model, quality_rules, secret_scan, warc
 from .common import read
 
 
@@ -28,6 +28,29 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def remainder(by: int) -> F.Column:
+    """crc32 of the id as text, modulo by: what decides who may be learned from."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % by
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and score of docs, from a model of the labelled documents that may be learned from."""
+    labels = read(spark, sf_dir, "labels").where(remainder(3) != 1)
+    return quality_model.score(docs, quality_model.fit(read(spark, sf_dir, "documents"), labels))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, read(spark, sf_dir, "documents"), sf_dir).select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(remainder(4) != 2))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
@@ -36,7 +59,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op4_warc, op8_quality_rules, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op4_warc, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
 
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
