@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality_model, quality_rules, secret_scan, warc
+from . import bpe, language_id, ngram_join, packing, quality_model, quality_rules, secret_scan, warc
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def remainder(by: int) -> F.Column:
     """crc32 of the id as text, modulo by: what decides who may be learned from."""
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % by
@@ -59,7 +63,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op4_warc, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op4_warc, op5_ngram_join, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
 
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -124,4 +128,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op8_quality_rules": OP8_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS sh FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+t AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n_shingles + y.n_shingles - shared)
+), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS root FROM (SELECT DISTINCT a FROM u) UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+SELECT doc_id, n_shingles, coalesce(root, doc_id) AS component_id FROM n LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_ngram_join": OP5_SQL, "op8_quality_rules": OP8_SQL}
