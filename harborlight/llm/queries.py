@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, ngram_join, packing, quality_model, quality_rules, secret_scan, warc
+from . import bpe, language_id, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, warc
 from .common import read
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
 
@@ -63,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op4_warc, op5_ngram_join, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_packing, op4_warc, op5_ngram_join, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
 
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
