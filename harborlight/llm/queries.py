@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, warc
+from . import bpe, cap_filters, language_id, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, warc
 from .common import read
 
 
@@ -59,6 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near(read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_packing, op4_warc, op5_ngram_join, op6_quality_model, op8_quality_rules, op9_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_packing, op4_warc, op5_ngram_join, op6_quality_model, op7_cap_filters, op8_quality_rules, op9_secret_scan, op10_language_id)}
 
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
