@@ -1,23 +1,55 @@
-"""A chain of the text operators over documents; each stage is written and read again."""
+"""From raw documents to packed training sequences: five text operators in a row.
+
+Each stage takes what the one before wrote. Stages return the columns of
+``documents`` (``n_chars`` follows the text), the last one the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborlight.llm import packing, secret_scan
+from harborlight.llm import ngram_join, packing, quality_model, queries, secret_scan, suffix_dedup
 from harborlight.llm.common import read, stored
-from harborlight.llm.queries import _tokenizer
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_model.keep(docs, queries.quality(spark, docs, sf_dir))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    gone = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long strings that occur elsewhere too. Every document stays, if with less text."""
+    return _counted(suffix_dedup.removed(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redacted(docs)
+    """Texts with secrets replaced by a mark. Every document stays."""
+    return _counted(secret_scan.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, _tokenizer("byte_bpe_50k.json"))
+    """Pieces of the documents' tokens, placed in sequences."""
+    return packing.pack(docs, queries._tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("secret scans", secrets), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeats),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -149,6 +149,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([np.frombuffer(r[2], np.uint8).reshape(-1, WIDTH).astype(np.float32) / 255 for r in got], np.array([r[1] for r in got], np.float32))
 
 
+def _scores(model: dict[str, np.ndarray], texts: list[str | None]) -> list[float]:
+    """A score per text; passages go through the model some thousands at a time."""
+    if "share" in model:
+        return [float(model["share"][0])] * len(texts)
+    out, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        held.append(encode((t or "").encode()))
+        size += len(held[-1])
+        if size > 4000 or i == len(texts) - 1:
+            bag = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            out += forward(model, np.concatenate(held), bag, len(held))["y"].tolist()
+            held, size = [], 0
+    return out
+
+
+def keep(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score least or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(np.array(_scores(model, batch.column(at).to_pylist())) >= least, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score."""
     small_batches(docs.sparkSession)
@@ -156,24 +183,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held, size = [], [], 0
-
-            def flush() -> None:
-                if held:
-                    bag = np.repeat(np.arange(len(held)), [len(x) for x in held])
-                    out.extend(forward(model, np.concatenate(held), bag, len(held))["y"].tolist())
-                    held.clear()
-
-            for t in batch.column("text").to_pylist():
-                if "share" in model:
-                    out.append(float(model["share"][0]))
-                    continue
-                held.append(encode((t or "").encode()))
-                size += len(held[-1])
-                if size > 4000:
-                    flush()
-                    size = 0
-            flush()
+            out = _scores(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return narrow.mapInArrow(work, with_fields(narrow, "doc_id", "score double"))

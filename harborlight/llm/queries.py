@@ -41,14 +41,14 @@ def remainder(by: int) -> F.Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % by
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and score of docs, from a model of the labelled documents that may be learned from."""
-    labels = read(spark, sf_dir, "labels").where(remainder(3) != 1)
-    return quality_model.score(docs, quality_model.fit(read(spark, sf_dir, "documents"), labels))
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """A quality model from the labelled rows of docs that may be learned from."""
+    return quality_model.fit(docs, read(spark, sf_dir, "labels").where(remainder(3) != 1))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(spark, read(spark, sf_dir, "documents"), sf_dir).select(
+    docs = read(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality(spark, docs, sf_dir)).select(
         "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 

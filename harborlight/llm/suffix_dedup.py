@@ -360,12 +360,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Bytes of a character that a cut has split are dropped.
     """
     rows = keyed(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col), ["u1", "u2"], "left").select("row.*", F.col("spans").alias("__spans"))
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [t if not s else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(len(docs.columns)).to_pylist(), strict=True)]
-            cols = [pa.array(clean, batch.column(at).type) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            spans = batch.column(len(names)).to_pylist()
+            clean = [t if not s else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(clean, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))], names)
 
     return rows.mapInArrow(work, docs.schema)
