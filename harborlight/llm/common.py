@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harborlight.operators.graph import connected
+from harborlight.storage import shared_folder, stored
+
+__all__ = ["components", "partitions", "read", "shared_folder", "small_batches", "stored", "texts_in", "with_fields"]
+
 #: Rows that Spark hands to Python at once; long texts make larger batches a memory risk.
 BATCH_ROWS = "1000"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,27 +34,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is
-    made and set for the rest of the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="harborlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch with its texts as a list of str (null: empty)."""
     for batch in batches:
@@ -64,34 +46,5 @@ def with_fields(df: DataFrame, keep: str, ddl: str) -> T.StructType:
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", label: str = "components") -> DataFrame:
-    """(node, root): for each node of an edge the smallest node that it reaches.
-
-    Alternates taking the smallest label among neighbours and jumping to the
-    label's own label, so chains shorten geometrically. Each round is a hash
-    aggregation with map-side combining plus a join; the state is written to
-    the shared folder each round, and only one changed-row count comes to the
-    driver. Nulls and self-loops in edges are ignored (a node that has only a
-    self-loop isn't returned).
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    both = stored(e.union(e.select("v", "u")).distinct(), label + "-edges")
-    state = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
-    state = stored(state, label + "-0")
-    for step in range(1, 200):
-        near = (
-            both.join(state.select(F.col("node").alias("v"), F.col("root").alias("r")), "v")
-            .groupBy(F.col("u").alias("node")).agg(F.min("r").alias("r"))
-        )
-        # A root's own label may fall too: hooks carry a smaller label from a node to its old root.
-        hooks = state.join(near, "node").where("r < root").groupBy(F.col("root").alias("node")).agg(F.min("r").alias("r"))
-        falls = near.unionByName(hooks).groupBy("node").agg(F.min("r").alias("r"))
-        moved = state.join(falls, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = stored(
-            moved.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), f"{label}-{step}"
-        )
-        if new.where("root <> old").limit(1).count() == 0:
-            break
-        state = new.select("node", "root")
-    return new.select("node", "root")
+    """(node, root): for each node of an edge the smallest node that it reaches; see ``connected``."""
+    return connected(edges, src, dst, label)

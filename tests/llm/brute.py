@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 
@@ -23,3 +24,58 @@ def repeated_bytes(texts: list[bytes], length: int) -> list[list[tuple[int, int]
                 start = None
         out.append(runs)
     return out
+
+
+def best_fit(counts: dict[int, int], window: int) -> list[int]:
+    """Room left in each window after best-fit decreasing, sorted."""
+    room: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [r for r in room if r >= length]
+            if fits:
+                room[room.index(min(fits))] -= length
+            else:
+                room.append(window - length)
+    return sorted(room)
+
+
+def base_secrets(text: str) -> str:
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
+def quality_counts(text: str) -> tuple[int, int, int, int, int]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def shingle_components(docs: list[tuple[int, str | None]], percent: int) -> list[tuple[int, int, int]]:
+    """(doc_id, size of its set of 3-word shingles, smallest id reachable by links)."""
+    sets = []
+    for _, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} - {()})
+    root = {i: i for i, _ in docs}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(docs[i][0]), find(docs[j][0])))
+                root[y] = x
+    return [(d, len(s), find(d)) for (d, _), s in zip(docs, sets, strict=True)]
