@@ -259,3 +259,24 @@ def test_pipeline_stages(spark):
         assert rows[3][i] == suffix_dedup.without(rows[2][i].encode(), r).decode("utf-8", "ignore")
         assert rows[4][i] == secret_scan.redact(rows[3][i], secret_scan.find(rows[3][i]))
     assert {r.doc_id for r in kept[-1].collect()} == set(rows[4])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, ties, repeated rows, an empty table, columns named like the operators' own."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    texts = [some_text(rng, 300, "abcdefgh ") for _ in range(20)] + [None, "", " ", "x" * 50_000, some_text(rng, 3, "ab")]
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 2 else None, None if i % 5 == 0 else 1, "c", i) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, "no id", None, None, None, None, None), (77, texts[4], None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, rep int")
+    labels = spark.createDataFrame([(i, i % 4 != 0, 0) for i in range(20)] + [(None, True, 0)], "doc_id long, quality boolean, toxic int").selectExpr("doc_id", "cast(quality as int) quality", "toxic")
+    for name, part in (("all", docs), ("none", docs.limit(0))):
+        base = f"{tmp_path}/{name}"
+        part.write.parquet(f"{base}/documents.parquet")
+        labels.write.parquet(f"{base}/labels.parquet")
+        got = cp.run(spark, base).collect()
+        if name == "none":
+            assert got == []
+        else:
+            assert got and all(p.length >= 1 for p in got)
