@@ -42,16 +42,10 @@ PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([.,|!?;:#*$%&()-]*)")
 
 
 def byte_alphabet() -> dict[int, str]:
-    """Byte (0x80 up) -> its character in the byte-level alphabet, read off the library byte by byte."""
-    from tokenizers import pre_tokenizers
-
-    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    out: dict[int, str] = {}
-    for b in range(0x80, 0x100):
-        lead, tail = level.pre_tokenize_str(chr(b))[0][0]
-        out[0xC2 + (b >= 0xC0)] = lead
-        out[0x80 + b % 0x40] = tail
-    return out
+    """Byte -> its character in the byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(0x100) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 def normalised(text: str) -> str:

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -35,7 +35,7 @@ from .bpe import byte_alphabet
 from .common import partitions, small_batches, stored, texts_in, with_fields
 
 WINDOW = 1024
-CACHE = 250_000
+CACHE = 200_000
 #: White_Space of Unicode, as the tokenizer's split expression defines it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -44,6 +44,27 @@ SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,|!?;:#*$%&()-]*)")
 
 
+class Remembered:
+    """A bounded memory of results: what was used in the last two generations of ``size`` entries stays."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = make(key)
+            if len(key) < 200:
+                if len(self.new) >= self.size:
+                    # The dict stays the same object, so that bound lookups stay good.
+                    self.old = dict(self.new)
+                    self.new.clear()
+                self.new[key] = found
+        return found
+
+
 class ByteBPE:
     """Ids of a byte-level BPE file, one white-space chunk at a time, with bounded caches.
 
@@ -54,60 +75,47 @@ class ByteBPE:
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.alphabet = self.tok.model, byte_alphabet()
+        # Of the same vocabulary: ids follow the order of the merges, so merging by least id is merging by rank.
+        back = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(back[c] for c in t): i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if all(c in back for c in t)}
+        self.piece = tiktoken.Encoding("byte_bpe", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cut = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.odd = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-        #: Chunks as they stand, and chunks after a plain space.
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: Chunks as they stand, chunks after a plain space, and marks.
+        self.bare, self.spaced, self.words = Remembered(CACHE), Remembered(CACHE), Remembered(CACHE)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.piece(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, chunk: str, space: str) -> bytes:
         if not (m := PLAIN.fullmatch(chunk)):
             ids = self.tok.encode(space + chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        parts = [x for x in m.groups() if x]
-        out = []
-        for k, word in enumerate(parts):
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.alphabet)
-            if space and k == 0:
-                word = "\u0120" + word
-            if (known := self.words.get(word)) is None:
-                ids = [t.id for t in self.model.tokenize(word)]
-                known = struct.pack(f"<{len(ids)}I", *ids)
-                self._keep(self.words, word, known)
-            out.append(known)
-        return b"".join(out)
-
-    def _keep(self, where: dict[str, bytes], key: str, value: bytes) -> None:
-        if len(key) < 200:
-            if len(where) >= CACHE:
-                where.clear()
-            where[key] = value
+        word, marks = m.groups()
+        if word and marks:
+            return self._word(space + word) + self.words.get(marks, self._word)
+        return self._word(space + chunk)
 
     def _bare(self, chunk: str) -> bytes:
-        out = self._ids(chunk, "")
-        self._keep(self.bare, chunk, out)
-        return out
+        return self.bare.get(chunk, lambda c: self._ids(c, ""))
 
     def _spaced(self, chunk: str) -> bytes:
-        out = self._ids(chunk, " ")
-        self._keep(self.spaced, chunk, out)
-        return out
+        return self.spaced.get(chunk, lambda c: self._ids(c, " "))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        bare, spaced = self.bare.get, self.spaced.get
+        bare, spaced = self.bare.new.get, self.spaced.new.get
         if text[:1] in ("", " ") or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.odd(text):
             return b"".join([spaced(c[1:]) or self._spaced(c[1:]) if c[0] == " " and len(c) > 1 and not c.isspace() else bare(c) or self._bare(c) for c in self.cut(text)])
-        out, line_end = [], bare("\n") or self._bare("\n")
+        out, line_end = [], self._bare("\n")
         for line in text.split("\n"):
             first, *rest = line.split(" ")
             if first:
