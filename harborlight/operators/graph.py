@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.storage import stored
+from harborlight.storage import discard, stored
 
 
 @dataclass
@@ -75,14 +75,17 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst", label: str =
     while True:
         near = both.join(state.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("node")).agg(F.min("r").alias("r"))
         # A root's own label may fall too: a hook carries a smaller label from a node to its old root.
-        hooks = state.join(near, "node").where("r < root").groupBy(F.col("root").alias("node")).agg(F.min("r").alias("r"))
+        hooks = state.select("node", "root").join(near, "node").where("r < root").groupBy(F.col("root").alias("node")).agg(F.min("r").alias("r"))
         falls = near.unionByName(hooks).groupBy("node").agg(F.min("r").alias("r"))
-        moved = state.join(falls, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        moved = state.select("node", "root").join(falls, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         jump = moved.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = stored(moved.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root")), label)
-        state = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return state
+        done = new.where("root <> old").isEmpty()
+        discard(state)
+        state = new
+        if done:
+            discard(both)
+            return state.select("node", "root")
 
 
 def shared_pairs(links: DataFrame, owner: str, item: str, least: int = 1, most: int | None = None) -> DataFrame:

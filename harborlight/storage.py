@@ -22,4 +22,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back; lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables. Only for tables on which nothing depends but what has been stored since."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
