@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborlight.operators.graph import connected
-from harborlight.storage import shared_folder, stored
+from harborlight.storage import discard, shared_folder, stored
 
-__all__ = ["components", "partitions", "read", "shared_folder", "small_batches", "stored", "texts_in", "with_fields"]
+__all__ = ["components", "discard", "partitions", "read", "shared_folder", "small_batches", "stored", "texts_in", "with_fields"]
 
 #: Rows that Spark hands to Python at once; long texts make larger batches a memory risk.
 BATCH_ROWS = "1000"

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored, with_fields
+from .common import discard, partitions, small_batches, stored, with_fields
 
 LENGTH = 400
 K = 96
@@ -306,11 +306,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     back = back.groupBy("h", "g").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
     found = whole.union(found_direct).union(back)
-    return (
+    spans = (
         places.join(found, ["h", "g"])
         .select("u1", "u2", F.expr(f"transform(offsets, o -> struct(at - o.end as start, at - o.start + {LENGTH} as end))").alias("spans"))
         .groupBy("u1", "u2").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
+    spans = stored(spans, "suffix-spans")
+    discard(places, contexts, cut, blocks)
+    return spans
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
