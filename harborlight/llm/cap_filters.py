@@ -9,10 +9,11 @@ which pairs reach the threshold. Several codes are used, since the lists of one
 vary much in length. Vectors meet in shared filters of their label, where
 cosines are verified in double precision.
 
-The threshold follows from the rows of the largest label, so a filter holds
-some tens of unrelated vectors at any size; the number of directions then makes
-a vector join ``LISTS`` filters on average. Similar vectors share more than half
-of theirs.
+The threshold follows from the rows of the largest label and the scores' own
+distribution, so a filter holds some tens of unrelated vectors at any size; the
+number of directions then makes a vector join ``LISTS / CODES`` filters a code on
+average. Codes are added until ``RECALL`` of drawn pairs at exactly the least
+cosine share a filter, so more rows mean more codes, not less recall.
 
 Equal vectors of one label are one class with a count. A filter's members are
 cut into blocks of ``BLOCK``, and pairs of blocks are separate units of work, so
@@ -30,7 +31,7 @@ vectors of their own. Null ids link, but are ignored as names of components.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,46 +44,93 @@ LISTS = 32
 CODES = 8
 PER_FILTER = 32
 BLOCK = 512
+RECALL = 0.99
+DRAWN = 4000
+MOST_CODES = 256
+
+
+def share_above(dim: int) -> Callable[[float], float]:
+    """The share of directions of a product code that score at least t for a random unit vector, as a function of t."""
+    first = dim // 2
+    grid = np.linspace(-1, 1, 4001)
+    # Scores of a part with a unit vector of its own follow (1 - x^2)^((d - 3) / 2); squared norms of the first part a beta distribution.
+    a, b = (np.maximum(1 - grid**2, 0) ** ((d - 3) / 2) for d in (first, dim - first))
+    above = (np.cumsum(b[::-1])[::-1] - b / 2) / b.sum()
+    x, p = grid[::8], a[::8] / a[::8].sum()
+    z = (np.arange(400) + 0.5) / 400
+    log = (first / 2 - 1) * np.log(z) + ((dim - first) / 2 - 1) * np.log(1 - z)
+    w = np.exp(log - log.max())
+    z, w = z[w > 1e-9], w[w > 1e-9] / w[w > 1e-9].sum()
+    r, s = np.sqrt(z)[:, None], np.sqrt(1 - z)[:, None]
+    return lambda t: float(w @ (np.interp((math.sqrt(2) * t - r * x) / s, grid, above, left=1, right=0) @ p))
 
 
 class Code:
-    """Random product codes for one dimension."""
+    """Random product codes for one dimension: ``codes`` of them, or as many more as RECALL takes at cosine ``least``."""
 
-    def __init__(self, dim: int, rows: int, lists: float = LISTS, codes: int = CODES, seed: int = 11) -> None:
-        self.words = 1
+    def __init__(self, dim: int, rows: int, lists: float = LISTS, codes: int = CODES, seed: int = 11, least: float = 0.93) -> None:
+        self.words, self.kind = 1, np.int32
         if dim < 16:
             return
-        share = lambda t: 0.5 * math.erfc(t / math.sqrt(2))
-        low, high = 1.5, 5.0
+        share = share_above(dim)
+        low, high = 1.5 / math.sqrt(dim), 1.0
         for _ in range(50):
             mid = (low + high) / 2
             low, high = (mid, high) if share(mid) * rows > PER_FILTER else (low, mid)
         self.words = max(2, math.ceil(math.sqrt(lists / codes / share(low))))
-        self.t, self.half = low / math.sqrt(dim), dim // 2
+        self.t, self.half = low, dim // 2
         rng = np.random.default_rng([seed, dim])
+        a, b = drawn_pairs(dim, least, DRAWN, np.random.default_rng([seed, dim, 1]))
         self.codes = []
-        for _ in range(codes):
+        while len(self.codes) < codes or len(a) > (1 - RECALL) * DRAWN:
+            if len(self.codes) == MOST_CODES:  # too far apart for filters: all in one, which is exact
+                self.words = 1
+                return
             turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             words = [rng.standard_normal((d, self.words)) for d in (self.half, dim - self.half)]
             self.codes.append((turn, *[w / np.linalg.norm(w, axis=0) / math.sqrt(2) for w in words]))
+            apart = ~self.meet(a, b, [len(self.codes) - 1])
+            a, b = a[apart], b[apart]
+        self.kind = np.int32 if len(self.codes) * self.words**2 < 1 << 31 else np.int64
+
+    def listed(self, c: int, units: np.ndarray) -> list[np.ndarray]:
+        """The filters of one code that each row (unit vectors) joins."""
+        turn, first, second = self.codes[c]
+        w, out = self.words, []
+        x = units @ turn
+        a, b = x[:, : self.half] @ first, x[:, self.half :] @ second
+        order = np.argsort(b, axis=1)
+        ranked = np.take_along_axis(b, order, axis=1)
+        best = ranked[:, -1:]
+        for i in range(len(x)):
+            heads = np.flatnonzero(a[i] + best[i] >= self.t)
+            at = np.searchsorted(ranked[i], self.t - a[i][heads])
+            out.append(np.concatenate([*((c * w + h) * w + order[i][k:] for h, k in zip(heads, at, strict=True)), np.zeros(0, np.int64)]))
+        return out
 
     def filters(self, units: np.ndarray) -> list[np.ndarray]:
         """The filters of each row (unit vectors), ascending."""
         if self.words == 1:
-            return [np.zeros(1, np.int32)] * len(units)
-        w, out = self.words, [[] for _ in units]
-        for c, (turn, first, second) in enumerate(self.codes):
-            x = units @ turn
-            a, b = x[:, : self.half] @ first, x[:, self.half :] @ second
-            order = np.argsort(b, axis=1)
-            ranked = np.take_along_axis(b, order, axis=1)
-            best = ranked[:, -1:]
-            for i in range(len(x)):
-                heads = np.flatnonzero(a[i] + best[i] >= self.t)
-                at = np.searchsorted(ranked[i], self.t - a[i][heads])
-                for h, k in zip(heads, at, strict=True):
-                    out[i].append((c * w + h) * w + order[i][k:])
-        return [np.sort(np.concatenate([*o, np.zeros(0, np.int64)])).astype(np.int32) for o in out]
+            return [np.zeros(1, self.kind)] * len(units)
+        out = [self.listed(c, units) for c in range(len(self.codes))]
+        return [np.sort(np.concatenate(o)).astype(self.kind) for o in zip(*out, strict=True)]
+
+    def meet(self, a: np.ndarray, b: np.ndarray, codes: list[int]) -> np.ndarray:
+        """Which pairs of rows share a filter of one of the codes."""
+        found = np.full(len(a), self.words == 1)
+        for c in codes if self.words > 1 else []:
+            for lo in range(0, len(a), 250):
+                pairs = zip(self.listed(c, a[lo : lo + 250]), self.listed(c, b[lo : lo + 250]), strict=True)
+                found[lo : lo + 250] |= [len(np.intersect1d(x, y)) > 0 for x, y in pairs]
+        return found
+
+
+def drawn_pairs(dim: int, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at a cosine."""
+    a = units_of(rng.standard_normal((n, dim)))
+    side = rng.standard_normal((n, dim))
+    side = units_of(side - (side * a).sum(axis=1, keepdims=True) * a)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine**2)) * side
 
 
 def units_of(values: np.ndarray) -> np.ndarray:
@@ -131,7 +179,8 @@ def near(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_co
     v = v.withColumn("ok", F.coalesce(valid, F.lit(False))).withColumn("k", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)))
     classes = stored(v.where("ok").groupBy("label", "k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "caps-classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy("label", F.size("v").alias("d")).count().groupBy("d").agg(F.max("count").alias("n")).collect()}
-    codes = {d: Code(d, n, lists) for d, n in sizes.items()}
+    codes = {d: Code(d, n, lists, least=least) for d, n in sizes.items()}
+    wide = any(c.kind is np.int64 for c in codes.values())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +193,11 @@ def near(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_co
                 for i, f in zip(at, codes[int(d)].filters(units_of(x)), strict=True):
                     found[i] = f
             ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int64() if wide else pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "rep", "n")] + [lists], ["label", "rep", "n", "fs"])
 
     kind = dict(classes.dtypes)
-    fs = stored(classes.mapInArrow(decode, f"label {kind['label']}, rep bigint, n bigint, fs array<int>"), "caps-lists")
+    fs = stored(classes.mapInArrow(decode, f"label {kind['label']}, rep bigint, n bigint, fs array<{'bigint' if wide else 'int'}>"), "caps-lists")
     listed = fs.select("label", "rep", F.explode("fs").alias("f")).join(classes.select("label", "rep", F.size("v").alias("d")), ["label", "rep"])
     many = listed.groupBy("label", "d", "f").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long")).drop("count")
     dealt = listed.join(many, ["label", "d", "f"]).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)")).select(

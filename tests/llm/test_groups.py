@@ -146,6 +146,24 @@ class TestCaps:
         assert got[905].n_links == 1 and got[906].component_id == 905 and not got[906].kept
         assert cap_filters.near(df.limit(0)).count() == 0
 
+    @pytest.mark.parametrize(("dim", "rows"), [(64, 10**5), (64, 10**6), (64, 10**7), (16, 10**6)])
+    def test_recall_of_farthest_links_at_any_size(self, dim, rows):
+        """Pairs at cosine 0.93 meet in the filters that a table of so many rows would get."""
+        code = cap_filters.Code(dim, rows)
+        rng = np.random.default_rng(9)
+        a = rng.standard_normal((2000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        side = rng.standard_normal((2000, dim))
+        side -= (side * a).sum(axis=1, keepdims=True) * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        met, per_row = 0, []
+        for lo in range(0, 2000, 250):
+            for x, y in zip(code.filters(a[lo : lo + 250]), code.filters(b[lo : lo + 250]), strict=True):
+                met += len(np.intersect1d(x, y)) > 0
+                per_row.append(len(x))
+        print(dim, rows, met / 2000, np.mean(per_row))
+        assert met / 2000 >= 0.985
+
     def test_blocks_count_each_link_once(self, spark, monkeypatch):
         monkeypatch.setattr(cap_filters, "BLOCK", 8)
         rng = np.random.default_rng(4)
