@@ -23,9 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    gone = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows exactly one: the one with the smallest id, null ids last. Rows of one id are told apart."""
+    # Numbers follow the ids, ties as read, so a component's least number is the row to keep. Stored, so they stay the same when read again.
+    at = F.monotonically_increasing_id()
+    rows = docs.withColumn("__at", at).orderBy(F.col("doc_id").asc_nulls_last(), "__at").withColumn("__row", at).drop("__at")
+    rows = stored(rows, "near-duplicate-rows")
+    kept = ngram_join.join(rows, id_col="__row").where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,3 +298,19 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert got == []
         else:
             assert got and all(p.length >= 1 for p in got)
+
+
+def test_one_row_of_each_text_stays(spark):
+    """Repeated rows, copies without an id, and a repeated id of which only one text is a copy; all longer than 400 bytes."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(some_text(rng, 6, "abcdefghijk") for _ in range(100)) for _ in range(5))
+    near = d.split()
+    near[50] = "zzz"
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (4, d), (4, e), (3, d), (None, " ".join(near)), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    near_kept = cp.stored(cp.near_duplicates(spark, docs, ""), "test")
+    want = sorted([(1, a), (2, b), (None, c), (3, d), (4, e), (9, None), (None, "")], key=str)
+    assert sorted([(r.doc_id, r.text) for r in near_kept.collect()], key=str) == want
+    assert sorted([(r.doc_id, r.text) for r in cp.repeats(spark, near_kept, "").collect()], key=str) == want
