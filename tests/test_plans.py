@@ -67,6 +67,22 @@ def test_linkage_finds_pairs_and_entities(spark):
     assert all(r.confidence == 1.0 for r in rows if r.match_pair_count == 0)
 
 
+def test_linkage_is_over_every_customer(spark, tmp_path):
+    """Against all pairs of a small table, tested one by one for what blocks ask."""
+    from harborlight.operators import linkage
+    from harborlight.plans.entities import people
+
+    spark.range(1, 151).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = linkage.with_sounds(people(spark, str(tmp_path)))
+    had = sorted(rows.collect(), key=lambda r: r.unique_id)
+    assert [r.unique_id for r in had] == list(range(1, 151))
+    meet = [(a.unique_id, b.unique_id) for i, a in enumerate(had) for b in had[i + 1 :] if any(all(a[c] is not None and a[c] == b[c] for c in rule) for rule in linkage.NAMES.blocks)]
+    want = linkage.scored(rows, spark.createDataFrame(meet, "l long, r long"), linkage.NAMES).where("match_probability >= 0.9").select("l", "r").collect()
+    got = PLANS["linkage_pairs"](spark, str(tmp_path)).select("l", "r").collect()
+    assert want and sorted(got) == sorted(want)
+    assert sorted(i for r in PLANS["entity_master"](spark, str(tmp_path)).collect() for i in r.member_ids) == list(range(1, 151))
+
+
 def test_every_plan_has_a_stable_schema(spark):
     for name in sorted(set(PLANS) - set(ORACLES)):
         assert PLANS[name](spark, BASE).columns, name
