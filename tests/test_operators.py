@@ -186,6 +186,13 @@ class TestLinkage:
         a, b, c = (spark.range(1).select(linkage.entity_id(F.array(*map(F.lit, x))).alias("i")).first().i for x in (["1", "2"], ["2", "1"], ["1", "3"]))
         assert a == b != c and len(a) == 36
 
+    def test_large_blocks_keep_every_pair(self, spark):
+        """First names that begin differently, nulls, and a block of many parts."""
+        data = [(i, f"{chr(65 + i % 26)}{i}", "X", None if i % 9 == 0 else f"z{i % 2}") for i in range(60)]
+        df = spark.createDataFrame(data, "unique_id long, first_name string, last_name string, zip string")
+        got = rows(linkage.candidates(df, [("last_name", "zip"), ("first_name",)], most=4), "l", "r")
+        assert got == sorted((a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[3] is not None and a[3] == b[3])
+
     @pytest.mark.parametrize(("name", "want"), [("ACME LLC", "ORGANIZATION"), ("jo smith", "PERSON"), ("", "UNKNOWN"), (None, "UNKNOWN"), ("City of Oz", "ORGANIZATION"), ("VINCENT", "ORGANIZATION")])
     def test_kinds(self, spark, name, want):
         assert spark.createDataFrame([(name,)], "n string").select(linkage.entity_kind(F.col("n"))).first()[0] == want
