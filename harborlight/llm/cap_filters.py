@@ -24,8 +24,11 @@ block gives a count per member and the roots of its links.
 Defined results: null or zero vectors, vectors with null or non-finite
 components, and vectors with a null label link with nothing (0 links, a
 component of their own, kept). Vectors of different length never link. Below 16
-dimensions all vectors of a label share one filter. Repeated rows count as
-vectors of their own. Null ids link, but are ignored as names of components.
+dimensions all vectors of a label share one filter. Every row is a vector of its
+own, also where ids or whole rows are repeated; ids only name, so null ids link
+too, but name no component unless nothing else does (then null). At exactly the
+least cosine vectors link. An empty table gives an empty one. Other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stored
+from .common import components, discard, small_batches, stored
 
 LISTS = 32
 CODES = 8
@@ -175,9 +178,11 @@ def near(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_co
     spark = rows.sparkSession
     small_batches(spark)
     v = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    valid = F.expr("label is not null and vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    valid = F.expr("label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     v = v.withColumn("ok", F.coalesce(valid, F.lit(False))).withColumn("k", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)))
-    classes = stored(v.where("ok").groupBy("label", "k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "caps-classes")
+    classes = v.where("ok").groupBy("label", "k").agg(F.min("vec_id").alias("name"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # Numbers of their own, since ids may be null or repeated; they are fixed by being written.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "caps-classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy("label", F.size("v").alias("d")).count().groupBy("d").agg(F.max("count").alias("n")).collect()}
     codes = {d: Code(d, n, lists, least=least) for d, n in sizes.items()}
     wide = any(c.kind is np.int64 for c in codes.values())
@@ -258,9 +263,16 @@ def near(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_co
     found = stored(full.mapInArrow(work, "rep bigint, links bigint, root bigint"), "caps-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), label="caps-components").withColumnRenamed("node", "rep")
-    named = classes.select("label", "k", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left").select(
-        "label", "k", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component")
+    placed = stored(
+        classes.select("label", "k", "rep", "n", "name").join(links, "rep", "left").join(comps, "rep", "left")
+        .select("label", "k", "name", "root", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")),
+        "caps-placed",
     )
+    names = stored(placed.where("root is not null").groupBy("root").agg(F.min("name").alias("least")), "caps-names")
+    named = placed.join(names, "root", "left").select("label", "k", "n_links", F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("least")).alias("component"))
+    named = stored(named, "caps-named")
+    discard(classes, fs, found, placed, names)
+    # Stored, so both sides of the join come from exchanges of their own and the rows of a hot vector can be split.
     return v.select("vec_id", "label", "k").join(named, ["label", "k"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,12 @@ from pyspark.sql import types as T
 from harborlight.operators.graph import connected
 from harborlight.storage import discard, shared_folder, stored
 
-__all__ = ["components", "discard", "partitions", "read", "shared_folder", "small_batches", "stored", "texts_in", "with_fields"]
+__all__ = ["components", "discard", "free_name", "partitions", "read", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
 
-#: Rows that Spark hands to Python at once; long texts make larger batches a memory risk.
-BATCH_ROWS = "1000"
+#: Rows and bytes that Spark hands to Python at once; long texts make larger batches a memory risk.
+BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)
+#: Bytes of texts that become Python objects at once.
+SLICE_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,10 +28,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > int(BATCH_ROWS):
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound the Arrow batches sent to Python by rows and bytes, unless the session already asks for smaller ones.
+
+    Plans are made when they run, so the setting stays in the session.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or now.lstrip("-").isdigit() and not 0 < int(now) <= int(most):
+            spark.conf.set(key, most)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of a text column (a longer text is a slice of its own)."""
+    for batch in batches:
+        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+        if not len(batch):
+            yield batch
 
 
 def partitions(spark: SparkSession) -> int:
@@ -36,10 +58,18 @@ def partitions(spark: SparkSession) -> int:
 
 def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch with its texts as a list of str (null: empty)."""
-    for batch in batches:
+    for batch in sliced(batches, column):
         yield batch, [x or "" for x in batch.column(column).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(df: DataFrame, keep: str, ddl: str) -> T.StructType:
     """The schema of df's column keep (whatever its type), then the fields of a DDL string."""
     return T.StructType([df.schema[keep], *T.StructType.fromDDL(ddl).fields])

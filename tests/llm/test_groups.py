@@ -11,7 +11,8 @@ import zlib
 import numpy as np
 import pytest
 
-from brute import repeated_bytes, shingle_components
+from brute import attention_score, repeated_bytes, shingle_components
+from brute import links as brute_links
 from harborlight.llm import cap_filters, language_id, ngram_join, quality_model, suffix_dedup, warc
 
 BASE = "/root/testdata/sf0.001"
@@ -62,11 +63,52 @@ class TestSuffixes:
         assert sorted(suffix_dedup.removed(df).select("u1", "text").collect(), key=str) == sorted([(5, ""), (6, ""), (7, "short"), (8, None)], key=str)
         assert suffix_dedup.digests(df.limit(0)).count() == 0
 
+    @pytest.mark.parametrize("length", [40, 200])
+    def test_other_lengths(self, spark, length):
+        texts = repeating_texts(random.Random(length))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digests(df, length=length).collect()}
+        runs = repeated_bytes([(t or "").encode() for t in texts], length)
+        assert got == {i: (sum(b - a for a, b in r), len(r)) for i, r in enumerate(runs)}
+
+    def test_repeated_rows_are_cut_once(self, spark, monkeypatch):
+        """20 copies of one row give each context once, and each place meets one verdict."""
+        rng = random.Random(6)
+        passage = some_text(rng, 900, "abcdef ")
+        rows = [(1, passage + some_text(rng, 700, "abcdef "))] * 20 + [(2, some_text(rng, 500, "abcdef ") + passage)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        cut, seen = suffix_dedup._cut_contexts, []
+        monkeypatch.setattr(suffix_dedup, "_cut_contexts", lambda *a: seen.append(suffix_dedup.stored(cut(*a), "test")) or seen[0])
+        monkeypatch.setattr(suffix_dedup, "_spans", lambda places, found, length, f=suffix_dedup._spans: seen.append(suffix_dedup.stored(found, "test")) or f(places, found, length))
+        monkeypatch.setattr(suffix_dedup, "discard", lambda *a: None)
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.digests(df).collect()}
+        assert got == {1: 1600, 2: 900}
+        for table in seen:
+            assert table.count() == table.select("h", "g").distinct().count() > 0
+
+    def test_periods_are_one_row(self, spark):
+        df = spark.createDataFrame([(1, "ab " * 4000), (2, "x" * 9000), (3, "th. " * 99), (4, "th. " * 101)], "doc_id long, text string")
+        rows = suffix_dedup._anchor_rows(suffix_dedup.keyed(df).select("u1", "u2", "text"), 400)
+        assert rows.count() < 40
+        got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.digests(df).collect()}
+        assert got == {1: (12000, 12000), 2: (9000, 9000), 3: (396, 0), 4: (404, 404)}
+
+    def test_runs_of_few_words_stay(self, spark):
+        rng = random.Random(3)
+        few, many = " ".join(some_text(rng, 12, "abcdefgh") for _ in range(49)), " ".join(some_text(rng, 4, "abcdefgh") for _ in range(51))
+        texts = [f"{some_text(rng, 90, 'xyz ')} {p} {some_text(rng, 90, 'uvw ')}" for p in (few, few, many, many)]
+        df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, __spans int")
+        got = {r.doc_id: r.text for r in suffix_dedup.removed(df, length=200, least_words=50).collect()}
+        assert got[0] == texts[0] and got[1] == texts[1]
+        assert all(many not in got[i] and len(got[i]) < 190 for i in (2, 3))
+        assert suffix_dedup.words_in(b"ab cd ef", 1, 8) == 2 and suffix_dedup.words_in(b"ab cd ef", 0, 7) == 2
+
     def test_order_is_lexicographic(self):
         rng = np.random.default_rng(2)
-        words = rng.integers(0, 3, (500, 6)).astype(np.uint64)
-        order = suffix_dedup.multikey_order(words)
-        assert [tuple(words[i]) for i in order] == sorted(map(tuple, words))
+        for high in (1, 3, 1 << 40):
+            words = rng.integers(0, high, (500, 6)).astype(np.uint64)
+            order = suffix_dedup.multikey_order(words)
+            assert [tuple(words[i]) for i in order] == sorted(map(tuple, words))
 
     def test_segments_give_the_same_windows(self):
         raw = some_text(random.Random(3), 5000, "abcdefghij").encode()
@@ -89,11 +131,26 @@ class TestNgramJoin:
                 out.append(" ".join(copy) if rng.random() < 0.8 else "\t".join(copy).upper())
         return out
 
-    def test_equals_all_pairs(self, spark):
+    @pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
+    def test_equals_all_pairs(self, spark, percent, n):
         docs = [(i * 3 + 1, t) for i, t in enumerate(self.texts(random.Random(8)))]
         df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, rep int").repartition(3)
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
-        assert got == sorted(shingle_components(docs, 90))
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, percent, n).collect())
+        assert got == sorted(shingle_components(docs, percent, n))
+
+    def test_rows_without_ids_link_by_near_texts(self, spark):
+        rng = random.Random(5)
+        words = [some_text(rng, 5, "abcdefghijk") for _ in range(100)]
+        near = [*words[:50], "zzz", *words[51:]]
+        other = [some_text(rng, 5, "lmnopq") for _ in range(100)]
+        rows = [(None, " ".join(near)), (8, " ".join(words)), (None, " ".join(other)), (None, " ".join([*other[:-1], "y"])), (3, " ".join(words[:20])), (3, " ".join(other[:30]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()), key=str)
+        assert got == sorted([(None, 98, 8), (8, 98, 8), (None, 98, None), (None, 98, None), (3, 18, 3), (3, 28, 3)], key=str)
+
+    def test_ids_of_any_type(self, spark):
+        df = spark.createDataFrame([("b", "a b c d"), ("a", "A b c D"), ("c", None)], "doc_id string, text string")
+        assert sorted((r.doc_id, r.component_id) for r in ngram_join.join(df).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
 
     def test_opened_groups_find_what_the_star_misses(self, spark):
         """Chains: a-b and b-c link, a-c doesn't, so the group's first member isn't enough."""
@@ -109,16 +166,18 @@ class TestNgramJoin:
         df = spark.createDataFrame(docs, "doc_id long, text string")
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()) == sorted(shingle_components(docs, 90))
 
-    def test_linked_sets_share_a_signature(self):
+    @pytest.mark.parametrize("percent", [90, 80])
+    def test_linked_sets_share_a_signature(self, percent):
         rng = random.Random(1)
+        part = percent // (100 - percent)
         with np.errstate(over="ignore"):
-            for _ in range(4000):
+            for _ in range(8000):
                 n = rng.choice([rng.randint(1, 40), rng.randint(5, 60), rng.randint(1, 400)])
                 a = {rng.getrandbits(64) for _ in range(n)}
-                b = set(list(a)[rng.randint(0, n // 9 + 1) :]) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 9 + 1))}
-                if b and a != b and 100 * len(a & b) >= 90 * len(a | b):
-                    sa, sb = (ngram_join.signatures(np.array(sorted(s), np.uint64), 90) for s in (a, b))
-                    assert len(np.intersect1d(sa, sb))
+                b = set(list(a)[rng.randint(0, n // part + 1) :]) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // part + 1))}
+                if b and a != b and 100 * len(a & b) >= percent * len(a | b):
+                    sa, sb = (ngram_join.signatures(np.array(sorted(s), np.uint64), percent) for s in (a, b))
+                    assert len(np.intersect1d(sa, sb)), (len(a), len(b), len(a & b))
 
     def test_empty_table_and_repeated_rows(self, spark):
         df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (7, "a b c d"), (None, "a b c d")], "doc_id long, text string")
@@ -146,6 +205,25 @@ class TestCaps:
         assert got[905].n_links == 1 and got[906].component_id == 905 and not got[906].kept
         assert cap_filters.near(df.limit(0)).count() == 0
 
+    def test_ids_only_name(self, spark):
+        """Repeated and null ids, equal vectors, ties at the least cosine; a label whose links lie between 0.93 and 0.99."""
+        rng = np.random.default_rng(7)
+        base = rng.standard_normal((12, 64))
+        near = base + 0.25 * rng.standard_normal((12, 64))
+        x = np.concatenate([base, near, base[:2], -base[:1]]).tolist()
+        far = [0.0] * 64
+        tie_a, tie_b = [1.0, 0.0, *far[2:]], [4.0, 3.0, *far[2:]]
+        x += [tie_a, tie_b]
+        labels = [1] * 27 + [2, 2]
+        ids = [1, 1, 2, None, 5, 6, 7, 8, 9, 10, 11, 12, 1, None, 3, None, 20, 21, 22, 23, 24, 25, 26, 27, 40, 41, 42, 50, 50]
+        df = spark.createDataFrame(list(zip(ids, x, labels, range(len(x)), strict=True)), "vec_id long, embedding array<double>, label int, rep int").repartition(3)
+        for least in (0.93, 0.8):
+            got = cap_filters.near(df, least).collect()
+            count, root = brute_links(x, labels, least)
+            name = {r: min((i for i, q in zip(ids, root, strict=True) if q == r and i is not None), default=None) for r in root}
+            want = [(i, n, name[r], i == name[r]) for i, n, r in zip(ids, count, root, strict=True)]
+            assert sorted(map(str, got)) == sorted(f"Row(vec_id={w[0]}, n_links={w[1]}, component_id={w[2]}, kept={w[3]})" for w in want)
+
     @pytest.mark.parametrize(("dim", "rows"), [(64, 10**5), (64, 10**6), (64, 10**7), (16, 10**6)])
     def test_recall_of_farthest_links_at_any_size(self, dim, rows):
         """Pairs at cosine 0.93 meet in the filters that a table of so many rows would get."""
@@ -269,11 +347,13 @@ def test_pipeline_stages(spark):
             assert kept[-1].columns == columns, name
     rows = [{r.doc_id: r.text for r in k.collect()} for k in kept[:-1]]
     assert set(rows[1]) < set(rows[0])
-    comps = shingle_components(sorted(rows[1].items()), 90)
+    comps = shingle_components(sorted(rows[1].items()), 80, 5)
     assert set(rows[2]) == {d for d, _, c in comps if d == c}
     order = sorted(rows[2])
-    runs = repeated_bytes([rows[2][i].encode() for i in order], 400)
+    runs = repeated_bytes([rows[2][i].encode() for i in order], 200)
     for i, r in zip(order, runs, strict=True):
+        raw = rows[2][i].encode()
+        r = [(a, b) for a, b in r if suffix_dedup.words_in(raw, a, b) >= 50]
         assert rows[3][i] == suffix_dedup.without(rows[2][i].encode(), r).decode("utf-8", "ignore")
         assert rows[4][i] == secret_scan.redact(rows[3][i], secret_scan.find(rows[3][i]))
     assert {r.doc_id for r in kept[-1].collect()} == set(rows[4])
