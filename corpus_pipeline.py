@@ -2,6 +2,12 @@
 
 Each stage takes what the one before wrote. Stages return the columns of
 ``documents`` (``n_chars`` follows the text), the last one the packed pieces.
+
+Defined results: null texts pass the stages as null and are packed as empty ones,
+empty texts as one closing id; texts of any length are taken whole; of repeated
+rows one stays (empty and word-less ones aside, which link with nothing); ties go
+to the smallest id, then the first row; an empty table gives no pieces; extra
+columns, whatever their names, stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.llm import ngram_join, packing, quality_model, queries, secret_scan, suffix_dedup
-from harborlight.llm.common import read, stored
+from harborlight.llm.common import free_name, read, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -23,18 +29,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows exactly one: the one with the smallest id, null ids last. Rows of one id are told apart."""
-    # Numbers follow the ids, ties as read, so a component's least number is the row to keep. Stored, so they stay the same when read again.
-    at = F.monotonically_increasing_id()
-    rows = docs.withColumn("__at", at).orderBy(F.col("doc_id").asc_nulls_last(), "__at").withColumn("__row", at).drop("__at")
-    rows = stored(rows, "near-duplicate-rows")
-    kept = ngram_join.join(rows, id_col="__row").where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    """Of each group of rows that link (five words, Jaccard similarity of 0.8 or more) exactly one: that with the smallest id, null ids last. Rows of one id are told apart."""
+    # Stored, so the numbers stay the same when read again.
+    at = free_name(docs, "row")
+    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "near-duplicate-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(at).alias("row"))
+    joined = ngram_join.join(rows.select(order.alias("id"), F.col("text")), percent=80, n=5, id_col="id")
+    kept = joined.where("doc_id = component_id").select(F.col("doc_id.row").alias(at))
+    return rows.join(kept, at, "left_semi").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that occur elsewhere too. Every document stays, if with less text."""
-    return _counted(suffix_dedup.removed(docs))
+    """Texts without the passages of 50 words or more (of 200 bytes at least) that occur elsewhere too. Every document stays, if with less text."""
+    return _counted(suffix_dedup.removed(docs, length=200, least_words=50))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

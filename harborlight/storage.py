@@ -7,13 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder is made and set only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session.
+
+    Where that is unset, a session with a local master gets a temporary folder of
+    its own, as in tests. On a cluster it is an error: a folder of one machine
+    would lose tables.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="harborlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="harborlight-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
