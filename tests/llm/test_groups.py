@@ -95,7 +95,7 @@ class TestSuffixes:
 
     def test_runs_of_few_words_stay(self, spark):
         rng = random.Random(3)
-        few, many = " ".join(some_text(rng, 12, "abcdefgh") for _ in range(49)), " ".join(some_text(rng, 4, "abcdefgh") for _ in range(51))
+        few, many = " ".join(some_text(rng, 12, "abcdefgh") for _ in range(40)), " ".join(some_text(rng, 4, "abcdefgh") for _ in range(51))
         texts = [f"{some_text(rng, 90, 'xyz ')} {p} {some_text(rng, 90, 'uvw ')}" for p in (few, few, many, many)]
         df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, __spans int")
         got = {r.doc_id: r.text for r in suffix_dedup.removed(df, length=200, least_words=50).collect()}
