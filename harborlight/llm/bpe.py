@@ -14,7 +14,10 @@ as its white-space chunks, and each distinct chunk is encoded once per worker
 the tokenizers library with its defaults; they are cut out before normalising.
 
 Defined results: null and empty texts have no ids and decode to the empty
-string; texts of any length are processed whole, fragment by fragment.
+string; texts of any length are processed whole, fragment by fragment; repeated
+rows are encoded each; ties between merges go by rank, then from the left; an
+empty table gives an empty one. Other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations

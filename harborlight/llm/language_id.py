@@ -15,7 +15,9 @@ one pass with a model of fixed size.
 Defined results: ``und`` with score 0 where the text is null or has no letter, or
 no language could be learned; one learned language is always predicted; repeated
 rows are predicted separately; rows with a null id are never trained on, and
-count as not held out.
+count as not held out; of languages with equal loss the first by name is taken;
+texts of any length are read whole, some MB of a batch at a time; an empty table
+gives an empty one. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_fields
+from .common import sliced, small_batches, with_fields
 
 BITS = 31
 SIZE = 4096
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for i, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = text.encode()
@@ -144,7 +146,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in sliced(batches):
             for at in range(0, len(whole), 250):
                 batch = whole.slice(at, 250)
                 texts = [x or "" for x in batch.column("text").to_pylist()]

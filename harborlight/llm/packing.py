@@ -16,7 +16,10 @@ numbered there, and shifted by the counts of earlier buckets. A length shared
 by a third of all pieces spreads over all buckets.
 
 Defined results: null and empty texts still have the separator, one piece of
-length 1; repeated rows are separate documents; an empty table packs to nothing.
+length 1; repeated rows are separate documents; pieces of one length go by id and
+start, whole rows that are repeated in any order; very long texts become as many
+full windows as they fill; an empty table packs to nothing. Other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

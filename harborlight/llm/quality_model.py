@@ -8,14 +8,18 @@ scored. Weights come from document labels alone, by gradient descent through
 the attention, so the passages that decide a label get the weight.
 
 Training reads at most about ``sample`` labelled documents, drawn by a hash of
-the id: a documented bound. Their ids are broadcast (bounded by the same
-number), so no text is shuffled. Scoring is one pass over all texts with a
-model of fixed size.
+the id, and of each at most ``BAG`` passages, evenly spread: documented bounds.
+Their ids are broadcast (bounded by the same number), so no text is shuffled.
+The rarer label is drawn more often; the output's offset puts the shares right
+again, so scores mean the same however many rows are labelled. Scoring is one
+pass over all texts, every passage, with a model of fixed size.
 
 Defined results: null and empty texts are one empty passage and get a score;
 without labels of both kinds all scores are the share of label 1 (0.5 without
-any label); repeated rows are scored separately; rows with null id or label
-never train.
+any label); repeated rows are scored separately, each as its text says; rows with
+null id or label never train; a score of exactly 0.5 counts as 1; an empty table
+gives an empty one. Very long texts are encoded ``BLOCK`` passages at a time.
+Other columns, whatever their names, are not looked at (``keep`` returns them).
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_fields
+from .common import sliced, small_batches, with_fields
 
 PASSAGE = 512
 SAMPLE = 5000
+BAG = 64
+BLOCK = 1024
 HIDDEN = 24
 TRIGRAMS = 128
 CLASSES = 16
@@ -56,25 +62,40 @@ def encode(raw: bytes) -> np.ndarray:
     n = max(1, -(-len(b) // PASSAGE))
     if n > 1 and len(b) % PASSAGE and len(b) % PASSAGE < PASSAGE // 4:
         n -= 1  # a short tail belongs to the passage before
-    out = np.zeros((n, WIDTH), np.float32)
     if not len(b):
-        return out
-    at = np.minimum(np.arange(len(b)) // PASSAGE, n - 1)
+        return np.zeros((1, WIDTH), np.float32)
+    ends = [*range(BLOCK, n, BLOCK), n]
+    return np.concatenate([_encoded(b, first, last, last == n) for first, last in zip([0, *ends], ends, strict=False)])
+
+
+def _encoded(b: np.ndarray, first: int, last: int, final: bool) -> np.ndarray:
+    """Passages first..last - 1 of a text; pairs and trigrams count where they end. The final passage takes what is left."""
+    n, start = last - first, first * PASSAGE
+    lead = min(2, start)
+    b = b[start - lead : len(b) if final else last * PASSAGE]
+    at = np.clip((np.arange(len(b)) - lead) // PASSAGE, 0, n - 1)
+    own = np.arange(len(b)) >= lead
     c = CLASS[b].astype(np.int64)
-    out[:, :CLASSES] = np.bincount(at * CLASSES + c, minlength=n * CLASSES).reshape(n, -1)
+    out = np.zeros((n, WIDTH), np.float32)
+    out[:, :CLASSES] = np.bincount((at * CLASSES + c)[own], minlength=n * CLASSES).reshape(n, -1)
     pair = CLASSES * CLASSES
-    out[:, CLASSES : CLASSES + pair] = np.bincount(at[1:] * pair + c[:-1] * CLASSES + c[1:], minlength=n * pair).reshape(n, -1)
+    out[:, CLASSES : CLASSES + pair] = np.bincount((at[1:] * pair + c[:-1] * CLASSES + c[1:])[own[1:]], minlength=n * pair).reshape(n, -1)
     w = b.astype(np.uint32)
-    tri = ((w[:-2] << np.uint32(16) | w[1:-1] << np.uint32(8) | w[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(22)
-    out[:, CLASSES + pair : -2] = np.bincount(at[2:] * TRIGRAMS + (tri % np.uint32(TRIGRAMS)).astype(np.int64), minlength=n * TRIGRAMS).reshape(n, -1)
+    tri = (((w[:-2] << np.uint32(16) | w[1:-1] << np.uint32(8) | w[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(22)).astype(np.int64)
+    out[:, CLASSES + pair : -2] = np.bincount(at[2:] * TRIGRAMS + tri % TRIGRAMS, minlength=n * TRIGRAMS).reshape(n, -1)
     size = np.maximum(out[:, :CLASSES].sum(axis=1), 1)
     out[:] = np.sqrt(out / size[:, None])
-    seen = np.bincount(at[2:] * DISTINCT + tri.astype(np.int64), minlength=n * DISTINCT).reshape(n, -1)
+    seen = np.bincount(at[2:] * DISTINCT + tri, minlength=n * DISTINCT).reshape(n, -1)
     out[:, -2] = np.minimum((seen > 0).sum(axis=1) / np.minimum(size, PASSAGE), 1)
     out[:, -1] = 1 - out[:, -2]
     return out
 
 
+def spread(x: np.ndarray, most: int = BAG) -> np.ndarray:
+    """At most ``most`` rows, evenly spread."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(np.int64)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -129,24 +150,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return {"share": np.array([float(next(iter(counts)))]) if counts else np.array([0.5])}
-    # The rarer label fills up to half of the sample; shares are put right again by the offset below.
+    # The rarer label fills up to half of the sample; the offset below puts the shares right again.
     rare = min(sample // 2, min(counts.values()))
     share = {k: min(1.0, (rare if counts[k] == min(counts.values()) else sample - rare) / counts[k]) for k in counts}
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * F.when(F.col("label") == 0, share[0]).otherwise(share[1]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("id", "label", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, label, texts = (batch.column(k).to_pylist() for k in range(3))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(str, ids), pa.string()), pa.array(label, pa.int32()), pa.array([np.rint(255 * np.minimum(encode((t or "").encode()), 1)).astype(np.uint8).tobytes() for t in texts], pa.binary())],
+                [pa.array(map(str, ids), pa.string()), pa.array(label, pa.int32()), pa.array([np.rint(255 * np.minimum(spread(encode((t or "").encode())), 1)).astype(np.uint8).tobytes() for t in texts], pa.binary())],
                 ["id", "label", "v"],
             )
 
     got = sorted(map(tuple, rows.mapInArrow(work, "id string, label int, v binary").collect()))
     if len({r[1] for r in got}) < 2:
         return {"share": np.array([counts.get(1, 0) / sum(counts.values())])}
-    return train([np.frombuffer(r[2], np.uint8).reshape(-1, WIDTH).astype(np.float32) / 255 for r in got], np.array([r[1] for r in got], np.float32))
+    y = np.array([r[1] for r in got], np.float32)
+    model = train([np.frombuffer(r[2], np.uint8).reshape(-1, WIDTH).astype(np.float32) / 255 for r in got], y)
+    model["b"] = model["b"] + np.float32(offset(counts[1], counts[0], int(y.sum()), int(len(y) - y.sum())))
+    return model
+
+
+def offset(ones: int, zeros: int, drawn_ones: int, drawn_zeros: int) -> float:
+    """What the log odds of a model that was trained on drawn rows lack, from the labels' true and drawn numbers."""
+    return float(np.log(ones / zeros) - np.log(drawn_ones / drawn_zeros))
 
 
 def _scores(model: dict[str, np.ndarray], texts: list[str | None]) -> list[float]:
@@ -170,7 +199,7 @@ def keep(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             yield batch.filter(pa.array(np.array(_scores(model, batch.column(at).to_pylist())) >= least, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
@@ -182,7 +211,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = _scores(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 

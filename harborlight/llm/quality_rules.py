@@ -13,9 +13,15 @@ with few documents falls back to the merged sketch of its language, then to
 that of the whole corpus. All arithmetic is on integers, so results don't
 depend on the order of rows or on the engine.
 
+The fences are joined to all rows: broadcast where ``FEW`` groups or fewer were
+counted, otherwise by a shuffle of two stored tables, where a hot group's
+partition can be split.
+
 Defined results: null text counts as no words (base_failed); null language or
-source form their own groups; repeated rows are judged separately; an empty
-table gives an empty table.
+source form their own groups; repeated rows are judged separately; a value at a
+fence is kept; an empty table gives an empty table; texts of any length are taken
+whole, as one value of a row. Other columns, whatever their names, are not looked
+at.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from .common import stored
 
 #: Documents that a group needs for fences of its own.
 MIN_GROUP = 200
+#: Groups whose fences (eight integers each) are broadcast.
+FEW = 50_000
 #: Fences lie this many quartile ranges beyond the quartiles.
 REACH = 4
 #: Feature -> smallest quartile range assumed (in the feature's own unit).
@@ -153,7 +161,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).drop("lang", "source", "n_lines")
     f = stored(f, "rules")  # the texts are read once; both uses below read the counts
     within = F.expr(" and ".join(f"{x} between lo_{x} and hi_{x}" for x in FEATURES))
-    return f.join(fences(f, min_group, reach), ["g_lang", "g_source"], "left").select(
+    bounds = stored(fences(f, min_group, reach), "rule-fences")
+    bounds = F.broadcast(bounds) if bounds.limit(FEW + 1).count() <= FEW else bounds.hint("merge")
+    return f.join(bounds, ["g_lang", "g_source"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"),
     )

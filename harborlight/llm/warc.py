@@ -12,16 +12,23 @@ another record) and SHA-1 digests.
 
 Archives are ordinary ``.warc`` text files, one per task, written by Spark's own
 writer, so they go wherever Spark can write, and a lost executor's file is
-written again. Files are read back whole, so their number of records is bounded.
+written again. Files are read back whole, so they hold at most ``FILE_RECORDS``
+records, and records of over ``FILE_BYTES / FILE_RECORDS`` bytes go to files of
+their own, with as many as ``FILE_BYTES`` hold of the largest. (A single record
+must fit into one value: 2 GB.)
 
 Duplicates: of records with one digest and at least ``least`` bytes the one with
 the largest id is the response. One row per digest comes from a hash aggregate,
-so a payload shared by a third of all pages costs one row per task.
+so a payload shared by a third of all pages costs one row per task; that table is
+stored, so the pages of one digest can be split when they meet it. A revisit
+names the response's record id, address and page id.
 
 Defined results: null payloads are empty; null urls become ``urn:unknown``; null
 ids are kept (their records neither win nor lose against others by id: nulls
 rank lowest); repeated rows (same id, same payload) are one response and are
-both reported as such.
+both reported as such (of several addresses, revisits name the largest); ids are
+integers; an empty table gives archives without records. Other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +42,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches
+from .common import shared_folder, sliced, small_batches, stored
 
 LEAST = 1000
-FILE_RECORDS = 5000
+FILE_RECORDS, FILE_BYTES = 5000, 256 << 20
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -93,19 +100,24 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         yield dict(zip(fields, values, strict=True)) | {"body": body}
 
 
-def to_warc(record: dict, page_id: object, record_type: str = "response", refers_to: object = None) -> bytes:
-    """The WARC record for an ARC record, without the two line ends that close it."""
+def record_id(url: str, date: str, page_id: object, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {page_id} {digest}')}>"
+
+
+def to_warc(record: dict, page_id: object, record_type: str = "response", refers_to: object = None, refers_url: str | None = None) -> bytes:
+    """The WARC record for an ARC record, without the two line ends that close it. A revisit's response has the same date."""
     body, d = record["body"], record["Archive-date"]
     digest = hashlib.sha1(body).hexdigest()
-    made = uuid.uuid5(NAMESPACE, f"{record['URL']} {d} {page_id} {digest}")
+    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     head = [
-        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:uuid:{made}>",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {record['URL']}",
+        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id(record['URL'], d, page_id, digest)}",
+        f"WARC-Date: {when}", f"WARC-Target-URI: {record['URL']}",
         f"WARC-IP-Address: {record['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(body)}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
     ]
     if record_type == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Refers-To: {record_id(arc_url(refers_url), d, refers_to, digest)}", f"WARC-Refers-To-Target-URI: {arc_url(refers_url)}", f"WARC-Refers-To-Date: {when}"]
         body = b""
     head += [f"Content-Type: {record['Content-type']}", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body
@@ -132,21 +144,25 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     small_batches(pages.sparkSession)
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     # Only digests that occur twice come back to the pages: a small table, though a hot digest has many pages.
-    held = p.where(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    told = p.join(held, "sha", "left").select(
-        "page_id", "url", "html", F.when(F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner")).alias("refers_to")
-    )
+    sized = p.where(F.octet_length("html") >= least).groupBy("sha")
+    held = stored(sized.agg(F.max(F.struct("page_id", "url")).alias("winner"), F.count("*").alias("copies")).where("copies > 1 and winner.page_id is not null").select("sha", "winner"), "warc-held")
+    revisit = F.col("winner").isNotNull() & ~F.col("winner.page_id").eqNullSafe(F.col("page_id"))
+    told = p.join(held, "sha", "left").select("page_id", "url", "html", *[F.when(revisit, F.col(f"winner.{c}")).alias(f"refers_{c}") for c in ("page_id", "url")])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, urls, html, refers = (batch.column(k).to_pylist() for k in range(4))
+        for batch in sliced(batches, "html"):
+            ids, urls, html, refers, refers_url = (batch.column(k).to_pylist() for k in range(5))
             arc = write_arc(((u, "text/html", h.encode()) for u, h in zip(urls, html, strict=True)), version)
-            out = [to_warc(r, i, "response" if ref is None else "revisit", ref) for r, i, ref in zip(parse_arc(arc), ids, refers, strict=True)]
+            out = [to_warc(r, i, "response" if ref is None else "revisit", ref, at) for r, i, ref, at in zip(parse_arc(arc), ids, refers, refers_url, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
 
     folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    # Every record closes with two line ends: the writer's line separator.
-    told.mapInArrow(convert, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    long = F.octet_length("html") > FILE_BYTES // FILE_RECORDS
+    largest = p.where(long).agg(F.max(F.octet_length("html"))).first()[0]
+    parts = [(told, FILE_RECORDS)] if largest is None else [(told.where(~long), FILE_RECORDS), (told.where(long), max(1, FILE_BYTES // largest))]
+    for part, records in parts:
+        # Every record closes with two line ends: the writer's line separator.
+        part.mapInArrow(convert, "value string").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(folder)
     return folder
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import os
 import random
@@ -166,8 +167,9 @@ class TestNgramJoin:
         df = spark.createDataFrame(docs, "doc_id long, text string")
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()) == sorted(shingle_components(docs, 90))
 
-    @pytest.mark.parametrize("percent", [90, 80])
-    def test_linked_sets_share_a_signature(self, percent):
+    @pytest.mark.parametrize(("percent", "often"), [(90, 0), (90, 3), (80, 0), (80, 3), (80, 6), (80, 7)])
+    def test_linked_sets_share_a_signature(self, percent, often):
+        """Whichever shingles count as common: none, some, most or all."""
         rng = random.Random(1)
         part = percent // (100 - percent)
         with np.errstate(over="ignore"):
@@ -176,7 +178,8 @@ class TestNgramJoin:
                 a = {rng.getrandbits(64) for _ in range(n)}
                 b = set(list(a)[rng.randint(0, n // part + 1) :]) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // part + 1))}
                 if b and a != b and 100 * len(a & b) >= percent * len(a | b):
-                    sa, sb = (ngram_join.signatures(np.array(sorted(s), np.uint64), percent) for s in (a, b))
+                    common = np.array(sorted(x for x in a | b if x % 7 < often), np.uint64)
+                    sa, sb = (ngram_join.signatures(np.array(sorted(s), np.uint64), percent, common) for s in (a, b))
                     assert len(np.intersect1d(sa, sb)), (len(a), len(b), len(a & b))
 
     def test_empty_table_and_repeated_rows(self, spark):
@@ -264,6 +267,25 @@ class TestArchives:
         with pytest.raises(ValueError):
             list(warc.parse_arc(data))
 
+    def test_large_records_get_files_of_their_own(self, spark, monkeypatch):
+        monkeypatch.setattr(warc, "FILE_RECORDS", 4)
+        monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+        pages = [(i, f"http://a/{i % 5}", ("x" * (2500 if i % 3 == 0 else 20)) + str(i % 6)) for i in range(30)]
+        folder = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1))
+        heads = {}
+        for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).collect():
+            records = list(warc.parse_warc(gzip.decompress(bytes(f.content))))
+            assert len(records) <= 4 and (len(records) == 1 or max(int(h["X-Payload-Length"]) for h, _ in records) < 1000)
+            heads |= {int(h["X-Page-ID"]): h for h, _ in records}
+        assert sorted(heads) == list(range(30))
+        for i in range(0, 24, 3):
+            winner = heads[24 + i % 6]
+            assert heads[i]["WARC-Type"] == "revisit" and heads[i]["WARC-Refers-To"] == winner["WARC-Record-ID"] and heads[i]["WARC-Refers-To-Target-URI"] == winner["WARC-Target-URI"]
+
+    def test_empty_table(self, spark):
+        df = spark.createDataFrame([], "page_id long, url string, html string")
+        assert warc.read_archives(spark, warc.write_archives(df)).count() == 0
+
     def test_write_and_read(self, spark):
         big = "<p>é</p>\r\n\r\n" * 200
         pages = [(1, "http://a", big), (2, "http://b", big), (3, None, "small"), (4, "http://d", "small"), (5, "u", None), (6, "u", ""), (2, "http://b", big)]
@@ -315,6 +337,66 @@ class TestModels:
         got = [r for r in queries.op6_quality_model(spark, folder).collect() if r.held_out and r.doc_id in label]
         assert np.mean([r.predicted == label[r.doc_id] for r in got]) >= 0.95
 
+    def test_scores_equal_a_plain_forward_pass(self):
+        rng = np.random.default_rng(8)
+        bags = [quality_model.encode(bytes(rng.integers(32, 127, n).astype(np.uint8))) for n in (10, 600, 3000, 1300, 50, 5000) * 5]
+        m = quality_model.train(bags, np.arange(30, dtype=np.float32) % 2, epochs=4)
+        for x in bags[:6]:
+            got = quality_model.forward(m, x, np.zeros(len(x), int), 1)["y"][0]
+            assert abs(got - attention_score({k: v.tolist() for k, v in m.items()}, x.tolist())) < 1e-4
+
+    def test_features_by_counting(self):
+        text = "Ab 1!\n" * 120 + "zzé"
+        raw = text.encode()
+        x = quality_model.encode(raw)
+        parts = [raw[:512], raw[512:]]
+        assert len(x) == 2
+        for p, row in zip(parts, x, strict=True):
+            for k in range(quality_model.CLASSES):
+                share = sum(quality_model.CLASS[c] == k for c in p) / len(p)
+                assert abs(row[k] - share**0.5) < 1e-6
+
+    def test_blocks_of_passages_change_nothing(self, monkeypatch):
+        raw = bytes(np.random.default_rng(1).integers(32, 127, 512 * 23 + 60).astype(np.uint8))
+        whole = quality_model.encode(raw)
+        for block in (1, 4, 22, 23):
+            monkeypatch.setattr(quality_model, "BLOCK", block)
+            assert np.array_equal(quality_model.encode(raw), whole)
+
+    def test_drawn_shares_are_put_right(self, spark):
+        """900 of 1000 labels are 1 and the text says nothing: scores are 0.9, also if the draw is half and half."""
+        rng = random.Random(2)
+        rows = [(i, some_text(rng, 300, "abcdefgh "), int(i % 10 > 0)) for i in range(3000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+        for sample in (400, 100_000):
+            scores = [r.score for r in quality_model.score(df.limit(300), quality_model.fit(df, df, sample=sample)).collect()]
+            assert 0.8 < np.median(scores) < 0.97, sample
+        assert abs(quality_model.offset(900, 100, 50, 50) - np.log(9)) < 1e-9
+
+    def test_codes_decode_as_a_plain_loop(self):
+        import math
+
+        rng = np.random.default_rng(3)
+        code = language_id.codewords(5)
+        margins = rng.normal(0, 2, (40, code.shape[1]))
+        best, p, close = language_id.decode(margins, code)
+        for i in range(40):
+            loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins[i], word, strict=True)) for word in code]
+            assert best[i] == loss.index(min(loss))
+            assert abs(p[i] - 1 / sum(math.exp(min(loss) - x) for x in loss)) < 1e-9
+            assert close[i] == (sorted(loss)[1] - min(loss) < language_id.AMBIGUOUS * len(code[0]))
+
+    def test_grams_by_counting(self):
+        text = "Ça va? 12  BIEN"
+        raw = text.encode()
+        folded = bytes([32]) + bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in raw) + bytes([32])
+        folded = re.sub(b" +", b" ", folded)
+        want = [0] * language_id.SIZE
+        for k, m in ((2, 0x85EBCA6B), (3, 0x9E3779B1)):
+            for i in range(len(folded) - k + 1):
+                want[(int.from_bytes(folded[i : i + k], "big") * m % (1 << 32)) >> 20] += 1
+        assert language_id.grams(raw).tolist() == want
+
     def test_attention_finds_the_telling_passage(self):
         rng = np.random.default_rng(2)
         good = lambda: quality_model.encode(bytes(rng.integers(97, 122, 512).astype(np.uint8)))
