@@ -44,18 +44,41 @@ class Graph:
         two = both.select(F.col("src").alias("via"), F.col("dst").alias("id"))
         return one.join(two, "via").where("id <> start").select("start", "via", "id")
 
+    def neighbourhood(self, start: DataFrame, most: int = 2) -> DataFrame:
+        """(start, id, hops): who is within one or two undirected steps of each start, by the fewest steps."""
+        both = self.both()
+        one = start.select(F.col("id").alias("start")).join(both, F.col("start") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(1).alias("hops"))
+        if most > 1:
+            one = one.union(self.two_hops(start).select("start", "id", F.lit(2)))
+        return one.groupBy("start", "id").agg(F.min("hops").alias("hops"))
+
+    def incident(self, start: DataFrame, *properties: str) -> DataFrame:
+        """(start, id, properties of the edge): the edges at each start, whichever end it is."""
+        e = self.edges.where("src is not null and dst is not null and src <> dst")
+        ends = e.select("src", "dst", *properties).union(e.select("dst", "src", *properties))
+        return start.select(F.col("id").alias("start")).join(ends, F.col("start") == F.col("src")).select("start", F.col("dst").alias("id"), *properties)
+
     def components(self) -> DataFrame:
         """(id, component): for each vertex the smallest vertex that it reaches, itself included."""
         found = connected(self.edges, "src", "dst").withColumnRenamed("node", "id")
         return self.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
     def triangles(self) -> DataFrame:
-        """(id, triangles, clustering): edges point to the larger vertex, so every triangle is met once."""
-        up = self.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-        wedge = up.alias("x").join(up.alias("y"), F.expr("x.b = y.a")).select("x.a", "x.b", F.expr("y.b").alias("c"))
-        tri = wedge.join(up.select("a", F.col("b").alias("c")), ["a", "c"])
+        """(id, triangles, clustering): every triangle is met once.
+
+        Edges point to the end of higher degree (then larger id), so no vertex has
+        more than sqrt(2 * edges) edges going out, a hub least of all, and the
+        pairs of them stay few.
+        """
+        both = stored(self.both(), "graph-edges")
+        degree = stored(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "graph-degrees")
+        ends = both.join(degree.withColumnsRenamed({"id": "src", "degree": "m"}), "src").join(degree.withColumnsRenamed({"id": "dst", "degree": "n"}), "dst")
+        up = stored(ends.where("m < n or (m = n and src < dst)").select(F.col("src").alias("a"), F.col("dst").alias("b")), "graph-up")
+        wedge = up.alias("x").join(up.alias("y"), F.expr("x.a = y.a and x.b < y.b")).select("x.a", "x.b", F.expr("y.b").alias("c"))
+        closing = up.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c"))
+        tri = wedge.join(closing, ["b", "c"])
         per = tri.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
-        d = self.degree().join(per, "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+        d = degree.join(per, "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
         return d.withColumn("clustering", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 
 

@@ -5,27 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from harborlight.storage import stored
 
+#: Counted values that one task may rank, and a broadcast may hold.
+FEW = 200_000
 
-def global_percent_rank(df: DataFrame, column: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """percent_rank() over all rows without a window over all rows.
 
-    Rows are counted per value. Sampled quantiles cut the values into buckets;
-    ranks are counted inside each bucket and shifted by the rows of earlier
-    buckets, which are a table of ``buckets`` rows. Null values have a null rank.
+def global_percent_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """percent_rank() of several columns (column -> name of its rank) over all rows, without a window over all rows.
+
+    One pass counts the rows per column and value; the counts are stored. While
+    they are ``FEW`` or fewer they are ranked as they are and broadcast; beyond
+    that they are range-partitioned by value, ranked inside each partition and
+    shifted by the rows of earlier partitions (a table of a row per partition).
+    Ranks go back to the rows by value. Null values have a null rank.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    totals = placed.groupBy("b").agg(F.sum("n").alias("m"))
-    before = totals.alias("x").join(F.broadcast(totals.alias("y")), F.expr("y.b < x.b"), "left").groupBy("x.b").agg(F.coalesce(F.sum("y.m"), F.lit(0)).alias("before"))
-    all_rows = totals.agg(F.sum("m").alias("total"))
-    here = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("before") + F.coalesce(F.sum("n").over(here), F.lit(0))
-    ranked = placed.join(F.broadcast(before), "b").withColumn("rank", rank).crossJoin(F.broadcast(all_rows))
-    ranked = ranked.select(F.col("v").alias(column), F.when(F.col("total") > 1, F.col("rank") / (F.col("total") - 1)).otherwise(0.0).alias(out))
-    return df.join(ranked, column, "left")
+    spark, names = df.sparkSession, list(ranks)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])).alias("x")).select("x.c", "x.v")
+    counts = stored(long.where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n")), "rank-counts")
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    few = counts.limit(FEW + 1).count() <= FEW
+    if few:
+        placed = counts.withColumn("below", F.coalesce(F.sum("n").over(before("c")), F.lit(0)))
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = stored(counts.repartitionByRange(parts, "c", "v").withColumn("b", F.spark_partition_id()), "rank-ranges")
+        sums = ranged.groupBy("c", "b").agg(F.sum("n").alias("m"))
+        earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        shift = sums.select("c", "b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("shift"))
+        placed = ranged.join(F.broadcast(shift), ["c", "b"]).withColumn("below", F.col("shift") + F.coalesce(F.sum("n").over(before("c", "b")), F.lit(0)))
+    totals = counts.groupBy("c").agg(F.sum("n").alias("total"))
+    placed = placed.join(F.broadcast(totals), "c").select("c", "v", F.when(F.col("total") > 1, F.col("below") / (F.col("total") - 1)).otherwise(0.0).alias("r"))
+    placed = stored(placed, "ranks")
+    for i, n in enumerate(names):
+        own = placed.where(F.col("c") == i).select(F.col("v").alias("__v"), F.col("r").alias(ranks[n]))
+        df = df.join(F.broadcast(own) if few else own.hint("merge"), F.col(n).cast("double") == F.col("__v"), "left").drop("__v")
+    return df
+
+
+def global_percent_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``global_percent_ranks`` of one column."""
+    return global_percent_ranks(df, {column: out})
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

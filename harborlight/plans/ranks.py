@@ -9,15 +9,21 @@ from harborlight.catalog import table
 from harborlight.functions.exprs import month_number, ordinal, ratio
 from harborlight.operators import anomaly, ranking
 from harborlight.plans.registry import plan
+from harborlight.storage import stored
 
 
 @plan("""
-WITH c AS (SELECT l_suppkey, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1)
-SELECT l_suppkey, lines, returned, percent_rank() OVER (ORDER BY lines) AS lines_pctile, percent_rank() OVER (ORDER BY returned) AS returned_pctile FROM c
+WITH c AS (SELECT l_suppkey, count(*) AS lines, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1)
+SELECT l_suppkey, lines, returned, percent_rank() OVER (ORDER BY lines) AS lines_pctile, percent_rank() OVER (ORDER BY returned) AS returned_pctile,
+  percent_rank() OVER (ORDER BY open) AS open_pctile, percent_rank() OVER (ORDER BY parts) AS parts_pctile FROM c
 """)
 def pctile_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
-    return ranking.global_percent_rank(ranking.global_percent_rank(c, "lines", "lines_pctile"), "returned", "returned_pctile").select("l_suppkey", "lines", "returned", "lines_pctile", "returned_pctile")
+    """Four metrics of each owner, ranked over all owners in one pass. The counts per owner are stored: every rank reads them."""
+    x = table(spark, d, "lineitem")
+    per = x.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    c = stored(per.groupBy("l_suppkey").agg(F.sum("n").alias("lines"), F.sum("r").alias("returned"), F.sum("o").alias("open"), F.count("*").alias("parts")), "owner-metrics")
+    metrics = ("lines", "returned", "open", "parts")
+    return ranking.global_percent_ranks(c, {m: f"{m}_pctile" for m in metrics}).select("l_suppkey", "lines", "returned", *[f"{m}_pctile" for m in metrics])
 
 
 @plan("SELECT p_partkey, p_retailprice, percent_rank() OVER (ORDER BY p_retailprice) AS pctile FROM part")

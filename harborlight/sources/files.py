@@ -30,18 +30,37 @@ def by_prefix(df: DataFrame, column: str, prefixes: list[str], cycle: str | None
 
 
 def xml_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """One row per element ``tag``, nested values flattened to columns, a list's later values as name_2, name_3 ..."""
+    """One row per element ``tag``, nested values flattened to columns, a list's later values as name_2, name_3 ...
+
+    There are as many columns as the longest list of the data has values: none is left out.
+    """
     from pyspark.sql import types as T
 
     df = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
+    most: dict[str, int] = {}
     cols = []
 
+    def lists(kind, name: str, sizes) -> None:
+        """The longest list of each repeated element, one level of repeats after the other. sizes: expr -> expr of an array's size."""
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                lists(f.dataType, f"{name}_{f.name}" if name else f.name, lambda then, f=f: sizes(lambda e: then(e[f.name])))
+        elif isinstance(kind, T.ArrayType):
+            r = df.agg(F.max(sizes(lambda e: F.coalesce(F.size(e), F.lit(0))))).first()[0] if name not in most else most[name]
+            most[name] = max(most.get(name, 0), r or 0)
+            for i in range(most[name]):
+                inner = name if i == 0 else f"{name}_{i + 1}"
+                lists(kind.elementType, inner, lambda then, i=i: sizes(lambda e: then(F.get(e, F.lit(i)))))
+
+    for f in df.schema.fields:
+        lists(f.dataType, f.name, lambda then, f=f: then(F.col(f"`{f.name}`")))
+
     def walk(expr, kind, name: str) -> None:
         if isinstance(kind, T.StructType):
             for f in kind.fields:
                 walk(expr[f.name], f.dataType, f"{name}_{f.name}" if name else f.name)
         elif isinstance(kind, T.ArrayType):
-            for i in range(MOST_REPEATS):
+            for i in range(most.get(name, 0)):
                 walk(F.get(expr, F.lit(i)), kind.elementType, name if i == 0 else f"{name}_{i + 1}")
         else:
             cols.append(expr.cast("string").alias(name))
@@ -51,10 +70,6 @@ def xml_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return df.select(*cols)
 
 
-#: Repeats of one element that become columns.
-MOST_REPEATS = 5
-
-
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: its properties, its geometry as text, and the mean of its outer ring's points."""
     raw = spark.read.schema("features array<struct<properties: map<string, string>, geometry: string>>").option("multiLine", True).json(path)

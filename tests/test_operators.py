@@ -42,7 +42,9 @@ class TestFilters:
         ("name", "kind", "want"),
         [("zip", T.StringType(), "geography"), ("owner_zip", T.LongType(), "geography"), ("seen", T.DateType(), "date_range"), ("issue_date", T.StringType(), "date_range"),
          ("status", T.StringType(), "category"), ("permit_type", T.StringType(), "category"), ("owner_name", T.StringType(), "text_search"), ("amount", T.DoubleType(), "numeric_range"),
-         ("amount", T.StringType(), None), ("x", T.LongType(), None)],
+         ("amount", T.StringType(), None), ("x", T.LongType(), None), ("Community_Board", T.StringType(), "category"), ("borocode", T.LongType(), "geography"), ("disposition", T.StringType(), "category"),
+         ("streetname", T.StringType(), None), ("street_name", T.StringType(), "text_search"), ("offense_description", T.StringType(), "category"), ("other_description_text", T.StringType(), "text_search"),
+         ("latitude", T.DoubleType(), None), ("fee_fine", T.DecimalType(9, 2), "numeric_range"), ("class", T.LongType(), None), ("updated", T.TimestampType(), "date_range")],
     )
     def test_column_kinds(self, name, kind, want):
         assert filters.column_kind(name, kind) == want
@@ -98,10 +100,16 @@ class TestRanking:
     @settings(max_examples=5, deadline=None)
     def test_percent_rank(self, spark, values):
         df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id int, v double")
-        got = rows(ranking.global_percent_rank(df, "v", "r", 4), "id", "r")
         below = lambda v: sum(w < v for w in values)
         want = [(i, below(v) / (len(values) - 1) if len(values) > 1 else 0.0) for i, v in enumerate(values)]
-        assert [round(r, 9) for _, r in got] == [round(r, 9) for _, r in want]
+        few = ranking.FEW
+        try:
+            for ranking.FEW in (few, 2):  # broadcast, and ranges of a partition each
+                got = rows(ranking.global_percent_ranks(df, {"v": "r", "id": "s"}), "id", "r", "s")
+                assert [round(r, 9) for _, r, _ in got] == [round(r, 9) for _, r in want]
+                assert [s for *_, s in got] == [i / max(1, len(values) - 1) for i in range(len(values))]
+        finally:
+            ranking.FEW = few
 
     def test_null_values_have_no_rank(self, spark):
         df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "id int, v double")
@@ -138,6 +146,17 @@ class TestGraph:
         assert rows(g.two_hops(spark.range(1)), "via", "id") == [(1, 2), (3, 2), (3, 4)]
         assert {r.id: r.clustering for r in g.triangles().collect()}[1] == 0.0
 
+    def test_triangles_of_a_hub(self, spark):
+        edges = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 29)] + [(5, 0), (3, 3)]
+        g = Graph(spark.range(30), spark.createDataFrame(edges, "src long, dst long"))
+        got = {r.id: (r.degree, r.triangles) for r in g.triangles().collect()}
+        assert got[0] == (29, 28) and got[1] == (2, 1) and got[10] == (3, 2)
+
+    def test_neighbourhood_and_edges_with_properties(self, spark):
+        g = Graph(spark.range(5), spark.createDataFrame([(0, 1, "a"), (2, 0, "b"), (2, 3, "c"), (1, 2, "d"), (None, 0, "e")], "src long, dst long, kind string"))
+        assert rows(g.neighbourhood(spark.range(1)), "start", "id", "hops") == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]
+        assert rows(g.incident(spark.range(1), "kind"), "id", "kind") == [(1, "a"), (2, "b")]
+
     def test_shared_pairs(self, spark):
         links = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 2), (None, 1)], "o string, i int")
         assert rows(shared_pairs(links, "o", "i"), "a", "b", "shared") == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
@@ -253,6 +272,14 @@ class TestSources:
         got = files.xml_rows(spark, str(tmp_path / "c.xml"), "Case")
         assert {"id", "p_n"} <= set(got.columns) and rows(got, "id") == [("1",), ("2",)]
 
+    def test_xml_keeps_every_repeat(self, spark, tmp_path):
+        values = "".join(f"<p><n>{i}</n><q>{i}a</q><q>{i}b</q></p>" for i in range(1, 9))
+        (tmp_path / "c.xml").write_text(f"<r><Case><id>1</id>{values}</Case><Case><id>2</id><p><n>C</n></p></Case></r>")
+        got = files.xml_rows(spark, str(tmp_path / "c.xml"), "Case")
+        one = got.where("id = '1'").first()
+        assert [one["p_n" if i == 1 else f"p_{i}_n"] for i in range(1, 9)] == [str(i) for i in range(1, 9)]
+        assert one["p_8_q"] == "8a" and one["p_8_q_2"] == "8b"
+
     def test_geojson(self, spark, tmp_path):
         (tmp_path / "z.json").write_text('{"features": [{"properties": {"zip": "1"}, "geometry": {"type": "Polygon", "coordinates": [[[0,0],[2,0],[2,2],[0,2],[0,0]]]}}]}')
         r = files.geojson_features(spark, str(tmp_path / "z.json")).first()

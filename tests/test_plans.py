@@ -62,7 +62,7 @@ def test_linkage_finds_pairs_and_entities(spark):
     assert all(p.l < p.r and 0.9 <= p.match_probability <= 1 for p in pairs)
     master = PLANS["entity_master"](spark, BASE)
     rows = master.collect()
-    assert sum(r.record_count for r in rows) == 30
+    assert sum(r.record_count for r in rows) == 150
     assert len({r.entity_id for r in rows}) == len(rows)
     assert all(r.confidence == 1.0 for r in rows if r.match_pair_count == 0)
 
