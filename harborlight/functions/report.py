@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import zipfile
 from itertools import accumulate
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
@@ -78,3 +80,39 @@ def csv_text(columns: list[str], rows: list[tuple], notes: dict[str, str] | None
     w.writerow(["row_id", *columns])
     w.writerows([i, *["" if v is None else v for v in r]] for i, r in enumerate(rows, 1))
     return out.getvalue()
+
+
+def xlsx_bytes(columns: list[str], rows: list[tuple], sheet: str = "Sheet1") -> bytes:
+    """A workbook of one sheet: a header row, numbers as numbers, all else as text, nulls as empty cells."""
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+
+    def name(i: int) -> str:
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    def cell(value: object, at: str) -> str:
+        if value is None:
+            return ""
+        if isinstance(value, (int, float)) and not isinstance(value, bool) and value == value and abs(value) != float("inf"):
+            return f'<c r="{at}"><v>{value!r}</v></c>'
+        text = "".join(c for c in str(value) if c in "\t\n\r" or c >= " ")
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    lines = [f'<row r="{n}">{"".join(cell(v, f"{name(i)}{n}") for i, v in enumerate(r))}</row>' for n, r in enumerate([tuple(columns), *rows], 1)]
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet[:31], {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, body in parts.items():
+            z.writestr(path, head + body)
+    return out.getvalue()

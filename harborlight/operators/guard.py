@@ -86,3 +86,33 @@ def repair_name(wrong: str, known: list[str], least: float = 60.0) -> str | None
 
     best = max(known, key=lambda k: (indel_ratio(wrong.lower(), k.lower()), k), default=None)
     return best if best is not None and indel_ratio(wrong.lower(), best.lower()) >= least else None
+
+
+def run_repaired(spark: SparkSession, sql: str, tables: dict[str, list[str]], schemas: set[str] | None = None, rows: int = MAX_ROWS) -> tuple[DataFrame, dict[str, str]]:
+    """run(), and once more with a mended name if a table or column isn't known; the second value says what was mended.
+
+    tables: known tables (as they are written in statements) and their columns.
+    """
+    from pyspark.errors import AnalysisException
+
+    text = check(spark, sql, schemas)
+    try:
+        return spark.sql(text).limit(rows), {}
+    except AnalysisException as e:
+        kind, wrong = e.getCondition() or "", (e.getMessageParameters() or {})
+        if kind.startswith("TABLE_OR_VIEW_NOT_FOUND"):
+            name, known = wrong.get("relationName", ""), list(tables)
+        elif kind.startswith("UNRESOLVED_COLUMN"):
+            name, known = wrong.get("objectName", ""), sorted({c for cs in tables.values() for c in cs})
+        else:
+            raise
+        name = name.replace("`", "")
+        if kind.startswith("UNRESOLVED_COLUMN"):
+            name = name.rsplit(".", 1)[-1]
+        better = repair_name(name, known)
+        if better is None:
+            raise
+        mended = re.sub(rf"(?<![\w.])`?{re.escape(name)}`?(?!\w)", better, text)
+        if mended == text and "." in name:
+            mended = text.replace(name, better)
+        return spark.sql(check(spark, mended, schemas)).limit(rows), {name: better}

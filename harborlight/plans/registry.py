@@ -20,4 +20,4 @@ def plan(oracle: str | None = None) -> Callable:
     return keep
 
 
-from harborlight.plans import entities, graphs, places, ranks, rollups, search, streams  # noqa: E402, F401
+from harborlight.plans import entities, graphs, places, ranks, rollups, search, streams, views  # noqa: E402, F401

@@ -1,6 +1,7 @@
 """A paged source for Spark's Python data source API: one partition per page.
 
-Options: ``total`` rows and ``page`` size give the pages; ``select``, ``where`` and
+Options: ``total`` rows and ``page`` size give the pages (without ``total`` the
+source is asked for its row count first, by ``fetch``); ``select``, ``where`` and
 ``order`` go into each page's request. ``fetch`` names a callable ("module:function")
 that takes the request's parameters and returns a list of records; it runs on the
 executors, with retries. No network is used by the library itself.
@@ -57,6 +58,12 @@ def with_retries(fetch: Callable[[dict], list[dict]], request: dict, tries: int
     return []
 
 
+def row_count(fetch: Callable[[dict], list[dict]], where: str | None = None) -> int:
+    """How many rows the source has, by its own count; 0 where it can't be had."""
+    got = with_retries(fetch, {"$select": "count(*)"} | ({"$where": where} if where else {}))
+    return int(next(iter(got[0].values()))) if got else 0
+
+
 class Page(InputPartition):
     def __init__(self, request: dict[str, str]) -> None:
         self.request = request
@@ -66,13 +73,17 @@ class PagedReader(DataSourceReader):
     def __init__(self, schema, options) -> None:
         self.names, self.options = schema.names, options
 
+    def fetch(self):
+        module, _, name = self.options["fetch"].partition(":")
+        return getattr(importlib.import_module(module), name)
+
     def partitions(self) -> list[Page]:
         o = self.options
-        return [Page(r) for r in page_requests(int(o["total"]), int(o.get("page", PAGE)), o.get("select") or ",".join(self.names), o.get("where"), o.get("order", ":id"))]
+        total = int(o["total"]) if "total" in o else row_count(self.fetch(), o.get("where"))
+        return [Page(r) for r in page_requests(total, int(o.get("page", PAGE)), o.get("select") or ",".join(self.names), o.get("where"), o.get("order", ":id"))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        module, _, name = self.options["fetch"].partition(":")
-        for record in with_retries(getattr(importlib.import_module(module), name), partition.request):
+        for record in with_retries(self.fetch(), partition.request):
             yield tuple(record.get(n) for n in self.names)
 
 
