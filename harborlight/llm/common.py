@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 from harborlight.operators.graph import connected
 from harborlight.storage import discard, shared_folder, stored
 
-__all__ = ["components", "discard", "free_name", "partitions", "read", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
+__all__ = ["components", "discard", "free_name", "joinable", "partitions", "read", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
 
 #: Rows and bytes that Spark hands to Python at once; long texts make larger batches a memory risk.
 BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)
 #: Bytes of texts that become Python objects at once.
 SLICE_BYTES = 8 << 20
+#: Rows that a join may broadcast: some 20 MB.
+FEW = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,6 +64,13 @@ def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
         yield batch, [x or "" for x in batch.column(column).to_pylist()]
 
 
+def joinable(table: DataFrame, listed: str | None = None) -> DataFrame:
+    """A stored table of narrow rows for a join: broadcast if it is counted to have at most ``FEW`` rows (and entries of the array column ``listed`` five times that), by sort-merge beyond."""
+    entries = F.sum(F.size(listed)) if listed else F.lit(0)
+    rows, inside = table.agg(F.count("*"), entries).first()
+    return F.broadcast(table) if rows <= FEW and (inside or 0) <= 5 * FEW else table.hint("merge")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores added until no column of df has it."""
     taken = {c.lower() for c in df.columns}
