@@ -16,6 +16,7 @@ from harborlight.session import build_session
 HEADLINE = (
     "worst_suppliers", "part_hub", "order_chain", "segment_stats", "conditional_counts", "pctile_suppliers", "pctile_orders", "latest_per_key", "price_flips",
     "quarter_grid", "exists_flags", "range_twins", "anomalies_weekly", "iqr_outliers", "token_counts", "vec_topk", "shared_owner_pairs", "bfs_hops", "radius_search", "upsert_merge",
+    "linkage_pairs", "building_profile", "building_similar", "influence_flows", "entity_xref", "clustering",
 )
 
 

@@ -35,6 +35,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected their plans, which it does by itself every half hour only."""
+    spark._jvm.java.lang.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of stored tables. Only for tables on which nothing depends but what has been stored since."""
     for t in tables:
