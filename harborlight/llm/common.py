@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborlight.operators.graph import connected
-from harborlight.storage import discard, shared_folder, stored
+from harborlight.storage import discard, release, shared_folder, stored
 
-__all__ = ["components", "discard", "free_name", "joinable", "partitions", "read", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
+__all__ = ["components", "discard", "free_name", "joinable", "partitions", "read", "release", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
 
 #: Rows and bytes that Spark hands to Python at once; long texts make larger batches a memory risk.
 BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)

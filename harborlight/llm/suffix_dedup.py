@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, joinable, partitions, sliced, small_batches, stored, with_fields
+from .common import discard, free_name, partitions, release, sliced, small_batches, stored, with_fields
 
 LENGTH = 400
 NARROW = 32
@@ -233,13 +233,11 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (h, g, n, hot, rep) with the bytes of the contexts: before and after the anchor. One row each.
 
-    Rows that are repeated whole become one: combined in each task before the exchange, after the texts without a place
-    have gone if places are few, else before they meet.
+    Of rows that are repeated whole one is kept.
     """
     places = wanted.groupBy("rep.u1", "rep.u2").agg(F.collect_list(F.struct("h", "g", "n", "hot", "rep.at", "rep.lo", "rep.hi")).alias("places"))
     places = stored(places, "suffix-places")
-    ids = joinable(places.select("u1", "u2"))
-    one = texts.join(ids, ["u1", "u2"], "left_semi").groupBy("u1", "u2").agg(F.first("text").alias("text"))
+    one = texts.join(places.select("u1", "u2").hint("merge"), ["u1", "u2"], "left_semi").groupBy("u1", "u2").agg(F.first("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "g", "n", "hot", "low", "high", "left", "right"]
@@ -318,8 +316,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = stored(contexts, "suffix-contexts")
     # Stored, so that in the joins both sides come from an exchange of their own and a hot key's partition can be split.
     totals = stored(contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("h", "kinds"), "suffix-shared")
-    shared = contexts.join(joinable(totals), "h").select("h", "g", "n", "rep", (F.col("kinds") > WIDE).alias("hot"))
+    release(docs.sparkSession)
+    shared = contexts.join(totals.hint("merge"), "h").select("h", "g", "n", "rep", (F.col("kinds") > WIDE).alias("hot"))
     cut = stored(_cut_contexts(texts, shared, length), "suffix-cut")
+    release(docs.sparkSession)
 
     # Anchors in very many contexts, by blocks and then by single windows.
     split = stored(_narrow_rows(cut.where("hot"), length), "suffix-split")
@@ -344,6 +344,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(_sorted_buckets(direct, length).union(back), "suffix-found")
     spans = stored(_spans(places, found, length), "suffix-spans")
     discard(places, contexts, totals, cut, split, kinds, agree, blocks, found)
+    release(docs.sparkSession)
     return spans
 
 
@@ -355,7 +356,7 @@ def _spans(places: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """
     more = "(times - 1) * (hi - lo + 1)"
     return (
-        places.join(joinable(found, "offsets"), ["h", "g"])
+        places.join(found.hint("merge"), ["h", "g"])
         .select("u1", "u2", F.expr(f"transform(offsets, o -> struct(at - o.end as start, at - o.start + {length} + {more} as end))").alias("spans"))
         .groupBy("u1", "u2").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
     )
@@ -386,7 +387,7 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    spans = joinable(repeated_spans(docs, id_col, text_col, length), "spans")
+    spans = repeated_spans(docs, id_col, text_col, length).hint("merge")
     rows = rows.select("u1", "u2", "text", "row.doc_id").join(spans, ["u1", "u2"], "left").select("doc_id", "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +418,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     Runs of fewer than ``least_words`` whole words stay. Bytes of a character that
     a cut has split are dropped.
     """
-    rows = keyed(docs, id_col, text_col).join(joinable(repeated_spans(docs, id_col, text_col, length), "spans"), ["u1", "u2"], "left").select("row.*", F.col("spans").alias(free_name(docs, "spans")))
+    rows = keyed(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col, length).hint("merge"), ["u1", "u2"], "left").select("row.*", F.col("spans").alias(free_name(docs, "spans")))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(text: str, spans: list | None) -> str:
