@@ -17,9 +17,9 @@ from harborlight.storage import discard, release, shared_folder, stored
 __all__ = ["components", "discard", "free_name", "joinable", "partitions", "read", "release", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
 
 #: Rows and bytes that Spark hands to Python at once; long texts make larger batches a memory risk.
-BATCH_ROWS, BATCH_BYTES = "1000", str(32 << 20)
+BATCH_ROWS, BATCH_BYTES = "500", str(16 << 20)
 #: Bytes of texts that become Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Rows that a join may broadcast: some 20 MB.
 FEW = 200_000
 WORD = r"[^\x20\x09-\x0D]+"

@@ -61,7 +61,7 @@ NARROW = 32
 #: Contexts that an anchor may have before it is split.
 WIDE = 256
 SEGMENT = 1 << 20
-BUCKET_ROWS = 8000
+BUCKET_ROWS = 4000
 
 _M1, _M2, _ODD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x5851F42D4C957F2D)
 
