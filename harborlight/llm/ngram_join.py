@@ -12,7 +12,7 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The steps:
    size band it may share with slightly larger or smaller sets). A part holds
    about nine shingles at 90 percent and four at 80, from all over the text. A
    part of common shingles only, or of none, would make long lists of strangers:
-   common shingles are told from a sample, and instead of such parts others are
+   common shingles are told from counts over all texts, and instead of such parts others are
    listed with one element left out, which finds the same links (see
    ``signatures``). Lists of the same members are one group, and lists of one
    member are dropped.
@@ -43,7 +43,7 @@ their names, are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -59,8 +59,10 @@ SHARED = 1 << 14
 #: Rounds in which groups are contracted by comparing their members with one of them.
 ROUNDS = 4
 SEEN = 200_000
-#: Texts drawn to tell common shingles, how often one must be met, and how many are remembered.
-DRAWN, OFTEN, MOST_COMMON = 150_000, 4, 1_000_000
+#: A shingle is common in so many of so many texts; how many common ones are remembered.
+OFTEN, PER, MOST_COMMON = 4, 150_000, 1_000_000
+#: Entries that a task packs at once, and how many bits of a signature and of a counted shingle don't travel.
+PACKED, CUT, COUNTED_CUT = 1 << 22, 16, 24
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -119,12 +121,13 @@ def bands(percent: int, top: int = 1 << 40) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None, cut: int = 0) -> np.ndarray:
     """Signatures of a set: linked, different sets have one in common.
 
     For the band that the set is in, and for the one below if a link can reach
     there. With H + 1 parts at least one is equal in both sets. Parts with a rare
-    element (one not in ``common``, a sorted array) are listed as they are.
+    element (one not in ``common``, a sorted array of hashes without their last
+    ``cut`` bits) are listed as they are.
 
     If all equal parts lack rare elements, they are at most the q such parts of
     either set, and the H differences lie in the others: at most q - 1 of those
@@ -140,7 +143,8 @@ def signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None) ->
     at = int(np.searchsorted([b[0] for b in table[:400]], len(s), side="right")) - 1
     rare = np.ones(len(s), bool)
     if common is not None and len(common):
-        rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
+        known = s >> np.uint64(cut) << np.uint64(cut)
+        rare = common[np.minimum(np.searchsorted(common, known), len(common) - 1)] != known
     out, lacking = [], False
     for tag in (at, at - 1):
         if tag < 0 or not (parts := table[tag][1] + 1) > 1 or (tag < at and percent * len(s) > 100 * (table[at][0] - 1)):
@@ -166,36 +170,118 @@ def signatures(s: np.ndarray, percent: int, common: np.ndarray | None = None) ->
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def _packed(value: np.ndarray, other: np.ndarray, buckets: int, cut: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, values and what goes with each) of sorted 64-bit words, of which the last ``cut`` bits are dropped: differences, by bytes of one place, compressed."""
+    if not len(value):
+        return
+    bucket = (value >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(value), np.int64)
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(value)], strict=True):
+        step = np.diff(value[lo:hi] >> np.uint64(cut), prepend=np.uint64(0))
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(hi - lo, -1).T).tobytes() for x in (step, other[lo:hi])]
+        yield int(bucket[lo]), pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int, kind: type, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, n * (8 + width), codec="zstd", asbytes=True), np.uint8)
+    step, other = (np.ascontiguousarray(x.T).view(k).ravel() for x, k in ((raw[: 8 * n].reshape(8, n), np.uint64), (raw[8 * n :].reshape(width, n), kind)))
+    return np.cumsum(step, dtype=np.uint64) << np.uint64(cut), other
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two: the hash space is cut into so many buckets, of about a million entries each."""
+    return 1 << max(6, (rows // 4000).bit_length())
+
+
+def _by_bucket(df: DataFrame, work: Callable[[list[tuple]], pa.RecordBatch], fields: str) -> DataFrame:
+    """work on the rows (as tuples of Python values) of each bucket."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != at and held:
+                    yield work(held)
+                    held = []
+                at = row[0]
+                held.append(row)
+        if held:
+            yield work(held)
+
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, fields)
+
+
+class _Seen:
+    """Whether a set is met for the first time in a task, as far as a memory of SEEN sets reaches."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def first(self, key: tuple[int, int]) -> bool:
+        if key in self.seen:
+            return False
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        self.seen.add(key)
+        return True
+
+
 def common_shingles(texts: DataFrame, n: int, rows: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many different texts hold: those met ``OFTEN`` times or more in about ``DRAWN`` texts.
+    """Sorted hashes (without their last ``COUNTED_CUT`` bits) of the shingles that many different texts hold: ``OFTEN`` of each ``PER`` texts, ``OFTEN`` at least.
 
-    A bounded sample, counted in a few tasks that hand on what they have met twice,
-    and at most ``MOST_COMMON`` hashes (the most frequent ones): what they are
-    decides how long lists are, never which links are found.
+    All texts are counted. A task counts its own before it hands them on, packed;
+    of copies in a task one counts. At most ``MOST_COMMON`` hashes are remembered
+    (the most frequent ones): which they are decides how long lists are, never
+    which links are found.
     """
+    buckets, least = buckets_for(rows), max(OFTEN, OFTEN * rows // PER)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, _Seen()
 
         def told() -> pa.RecordBatch:
-            x, k = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            x, k = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]) >> np.uint64(COUNTED_CUT), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[k > 1].view(np.int64)), pa.array(k[k > 1].astype(np.int64))], ["shingle", "k"])
+            x, k = x << np.uint64(COUNTED_CUT), np.minimum(k, 0xFFFF).astype(np.uint16)
+            packed = list(_packed(x, k, buckets, COUNTED_CUT))
+            ends = np.searchsorted((x >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64), np.array([b for b, _ in packed], np.int64), side="right")
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int64()), pa.array(np.diff(ends, prepend=0).astype(np.int64)), pa.array([x for _, x in packed], pa.binary())], ["bucket", "n", "blob"])
 
         for batch in sliced(batches):
             with np.errstate(over="ignore"):
-                held += _sets(batch.column("text").to_pylist(), n)
-            size += sum(map(len, held[-len(batch) :]))
-            if size > 1 << 22:
+                sets = _sets(batch.column("text").to_pylist(), n)
+                keys = zip(*(k.tolist() for k in _keys(sets)), strict=True)
+            held += [s for s, k in zip(sets, keys, strict=True) if len(s) and seen.first(k)]
+            size += sum(map(len, sets))
+            if size > PACKED:
                 yield told()
                 size = 0
         yield told()
 
-    drawn = texts.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, DRAWN / max(rows, 1)))))
-    # Copies of a text count once.
-    seen = drawn.distinct().coalesce(6).mapInArrow(work, "shingle bigint, k bigint").groupBy("shingle").agg(F.sum("k").alias("k")).where(F.col("k") >= OFTEN)
-    top = seen.orderBy(F.col("k").desc(), "shingle").limit(MOST_COMMON).select("shingle")
-    return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
+    def merged(rows: list[tuple]) -> pa.RecordBatch:
+        x, k = (np.concatenate(c) for c in zip(*(_unpacked(blob, n, np.uint16, COUNTED_CUT) for _, n, blob in rows), strict=True))
+        order = np.argsort(x)
+        x, k = x[order], k[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        x, k = x[first], np.add.reduceat(k, first)
+        return pa.RecordBatch.from_arrays([pa.array(x[k >= least].view(np.int64)), pa.array(k[k >= least])], ["shingle", "k"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["x"])
+
+    seen = stored(_by_bucket(texts.select("text").where(F.col("text").isNotNull()).mapInArrow(work, "bucket bigint, n bigint, blob binary"), merged, "shingle bigint, k bigint"), "ngram-common")
+    # Few numbers of texts are met; those from some number on are as many as can be remembered.
+    most, total = F.least("k", F.lit(1 << 12)), 0
+    for row in sorted(seen.groupBy(most.alias("k")).count().collect(), reverse=True):
+        total += row[1]
+        if total > MOST_COMMON:
+            least = row[0] + 1
+            break
+    out = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[0], np.int64) for r in seen.where(F.col("k") >= least).select("shingle").mapInArrow(listed, "x binary").collect())])
+    discard(seen)
+    return np.sort(out.view(np.uint64))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -226,34 +312,75 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, with_fields(docs, "doc_id", "at bigint, n_shingles bigint, k1 bigint, k2 bigint"))
 
 
-def listing(texts: DataFrame, percent: int, n: int, common: np.ndarray) -> DataFrame:
-    """Texts as (sig, k1), a row per signature; k1 stands for the set.
+def listing(texts: DataFrame, percent: int, n: int, common: np.ndarray, buckets: int = 64) -> DataFrame:
+    """Lists of two sets or more as (sig, k1), a row per member; k1 stands for the set.
 
     Of rows with one set in a partition only the first is listed (as far as a
-    memory of SEEN sets reaches), so a large group of copies leaves each task as one.
+    memory of SEEN sets reaches), so a large group of copies leaves each task as
+    one. Signatures travel packed: sorted, as differences, with the place of their
+    set in a table.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen, held, owners, size = _Seen(), [], [], 0
 
-        def first(key: tuple[int, int]) -> bool:
-            if key in seen:
-                return False
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(key)
-            return True
+        def told() -> pa.RecordBatch:
+            sig = np.concatenate([*held, np.zeros(0, np.uint64)])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), np.array([len(x) for x in held], np.int64))
+            order = np.argsort(sig)
+            sig, owner, table = sig[order], owner[order], np.array(owners, np.int64)
+            rows, lo = [], 0
+            ends = np.searchsorted((sig >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64), np.arange(buckets), side="right")
+            for hi in ends.tolist():
+                if hi > lo:
+                    # Only the sets of this bucket; they are numbered anew.
+                    here, place = np.unique(owner[lo:hi], return_inverse=True)
+                    ((bucket, blob),) = _packed(sig[lo:hi], place.astype(np.uint32), buckets, CUT)
+                    rows.append((bucket, hi - lo, blob, table[here].tobytes()))
+                lo = hi
+            held.clear()
+            owners.clear()
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["bucket", "n", "blob", "sets"])
 
         for batch in sliced(batches):
             with np.errstate(over="ignore"):
                 sets = _sets(batch.column("text").to_pylist(), n)
-                k1, k2 = _keys(sets)
-                none = np.zeros(0, np.uint64)
-                sigs = [signatures(s, percent, common) if len(s) and first(k) else none for s, k in zip(sets, zip(k1.tolist(), k2.tolist(), strict=True), strict=True)]
-            flat = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(k1, [len(s) for s in sigs]))], ["sig", "k1"])
+                k1, k2 = (k.tolist() for k in _keys(sets))
+                for s, a, b in zip(sets, k1, k2, strict=True):
+                    if len(s) and seen.first((a, b)):
+                        held.append(signatures(s, percent, common, COUNTED_CUT))
+                        owners.append(a)
+                        size += len(held[-1])
+                        if size > PACKED:
+                            yield told()
+                            size = 0
+        yield told()
 
-    return texts.select("text").mapInArrow(work, "sig bigint, k1 bigint")
+    def merged(rows: list[tuple]) -> pa.RecordBatch:
+        sigs, keys = [], []
+        for _, n, blob, table in rows:
+            sig, place = _unpacked(blob, n, np.uint32, CUT)
+            sigs.append(sig)
+            keys.append(np.frombuffer(table, np.int64)[place])
+        sig, k1 = np.concatenate(sigs), np.concatenate(keys)
+        # Most stand alone: only the others are sorted by both.
+        order = np.argsort(sig)
+        sig, k1 = sig[order], k1[order]
+        same = np.concatenate(([False], sig[1:] == sig[:-1], [False]))
+        again = same[1:] | same[:-1]
+        sig, k1 = sig[again], k1[again]
+        if not len(sig):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["sig", "k1"])
+        order = np.lexsort((k1, sig))
+        sig, k1 = sig[order], k1[order]
+        other = np.concatenate(([True], (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])))
+        sig, k1 = sig[other], k1[other]
+        same = np.concatenate(([False], sig[1:] == sig[:-1], [False]))
+        again = same[1:] | same[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(sig[again].view(np.int64)), pa.array(k1[again])], ["sig", "k1"])
+
+    return _by_bucket(texts.select("text").where(F.col("text").isNotNull()).mapInArrow(work, "bucket bigint, n bigint, blob binary, sets binary"), merged, "sig bigint, k1 bigint")
 
 
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
@@ -339,9 +466,10 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id",
     alike = sets_seen.groupBy("k1").agg(F.min("k2").alias("k2"), F.count("*").alias("n")).where("n > 1").select("k1", F.col("k2").alias("least"))
     classes = stored(sets_seen.join(alike, "k1", "left").withColumn("rep", F.expr("if(least is null or least = k2, k1, xxhash64(k1, k2))")).drop("least"), "ngram-classes")
     # One exchange of all signatures; only lists with two members or more are kept, copies being one.
-    per = Window.partitionBy("sig")
-    listed = listing(texts, percent, n, common_shingles(texts, n, rows.count())).select("sig", "k1", F.min("k1").over(per).alias("lo"), F.max("k1").over(per).alias("hi"))
-    listed = stored(listed.where("lo <> hi").select("sig", "k1").distinct(), "ngram-listed")
+    count = rows.count()
+    common = common_shingles(texts, n, count)
+    release(spark)
+    listed = stored(listing(texts, percent, n, common, buckets_for(count)), "ngram-listed")
     release(spark)
     # Lists of the same members are kept once; what a list holds is told by its size, ends and two hashes.
     h = F.xxhash64("k1")
