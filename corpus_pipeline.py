@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.llm import ngram_join, packing, quality_model, queries, secret_scan, suffix_dedup
-from harborlight.llm.common import free_name, read, stored
+from harborlight.llm.common import free_name, joinable, read, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,13 +30,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows that link (five words, Jaccard similarity of 0.8 or more) exactly one: that with the smallest id, null ids last. Rows of one id are told apart."""
-    # Stored, so the numbers stay the same when read again.
-    at = free_name(docs, "row")
-    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "near-duplicate-rows")
+    at, word, bits = (free_name(docs, k) for k in ("row", "word", "bits"))
+    if _is_scan(docs):
+        # A row's file and place there stay the same when read again; the texts needn't be written once more.
+        path = free_name(docs, "path")
+        paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
+        files = spark.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], f"`{path}` string, `{word}` long")
+        rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(bits)).join(F.broadcast(files), path)
+        rows = rows.select(*docs.columns, (F.col(word) + F.col(bits)).alias(at))
+    else:
+        rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "near-duplicate-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(at).alias("row"))
     joined = ngram_join.join(rows.select(order.alias("id"), F.col("text")), percent=80, n=5, id_col="id")
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id.row").alias(at))
-    return rows.join(kept, at, "left_semi").select(*docs.columns)
+    # Which rows go, as bits: 64 rows are one, so the texts needn't be exchanged.
+    gone = joined.where("not (doc_id <=> component_id)").groupBy(F.expr("doc_id.row div 64").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(doc_id.row % 64 as int)))").alias(bits))
+    found = rows.withColumn(word, F.expr(f"`{at}` div 64")).join(joinable(stored(gone, "near-duplicate-gone")), word, "left")
+    return found.where(F.expr(f"`{bits}` is null or getbit(`{bits}`, cast(`{at}` % 64 as int)) = 0")).select(*docs.columns)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is the plain reading of Parquet files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().lower() and "_metadata" not in docs.columns
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
