@@ -383,6 +383,33 @@ def listing(texts: DataFrame, percent: int, n: int, common: np.ndarray, buckets:
     return _by_bucket(texts.select("text").where(F.col("text").isNotNull()).mapInArrow(work, "bucket bigint, n bigint, blob binary, sets binary"), merged, "sig bigint, k1 bigint")
 
 
+def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts (at, text) whose ``at`` is wanted, and few others: those of which 32 bits agree. Of rows of one ``at`` in a task one stays.
+
+    Most texts are in no list. They are dropped where they are read, so they don't
+    travel to a join; four bytes of each wanted one go to the tasks.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()], pa.binary())], ["x"])
+
+    blobs = wanted.select("at").mapInArrow(listed, "x binary").collect()
+    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in blobs)]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            head = (at.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+            here = np.flatnonzero(known[np.minimum(np.searchsorted(known, head), len(known) - 1)] == head) if len(known) else []
+            new = [i for i in here if not (at[i] in seen or seen.add(at[i]))]
+            if new:
+                yield batch.take(pa.array(new, pa.int64()))
+
+    return texts.mapInArrow(work, texts.schema)
+
+
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
     """rep, n, the row of the matrix and the sorted shingles of rows (rep, k1, k2, text).
 
@@ -478,9 +505,10 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id",
     members = listed.join(groups, "sig").join(classes.select("k1", "k2", "rep", "at"), "k1").select("sig", "rep", "first", "k1", "k2", "at")
     members = stored(members, "ngram-groups")
     discard(listed, groups)
-    wanted = members.select("at", "rep", "k1", "k2").distinct()
-    found = texts.select("at", "text").join(wanted, "at").groupBy("at", "rep", "k1", "k2").agg(F.first("text").alias("text"))
+    wanted = stored(members.select("at", "rep", "k1", "k2").distinct(), "ngram-wanted")
+    found = only(texts.select("at", "text"), wanted).join(wanted.hint("merge"), "at").groupBy("at", "rep", "k1", "k2").agg(F.first("text").alias("text"))
     sets = stored(sets_of(found.select("rep", "k1", "k2", "text"), n), "ngram-sets")
+    discard(wanted)
     release(spark)
 
     located = members.select("sig", "rep", F.col("rep").alias("root"), "first")
