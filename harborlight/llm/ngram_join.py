@@ -59,6 +59,8 @@ SHARED = 1 << 14
 #: Rounds in which groups are contracted by comparing their members with one of them.
 ROUNDS = 4
 SEEN = 200_000
+#: Links whose components one task makes: 4 MB.
+FEW_LINKS = 1 << 18
 #: A shingle is common in so many of so many texts; how many common ones are remembered.
 OFTEN, PER, MOST_COMMON = 4, 150_000, 1_000_000
 #: Entries that a task packs at once, and how many bits of a signature and of a counted shingle don't travel.
@@ -519,16 +521,17 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id",
         stars.append(_linked(pairs.distinct(), sets, percent))
         if stars[-1].isEmpty():
             break
-        roots = components(reduce(DataFrame.union, stars), label="ngram-contracted")
+        roots = components_of(reduce(DataFrame.union, stars), "ngram-contracted")
         new = stored(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root")), "ngram-located")
         if round_:
             discard(located)
         located = new
+        release(spark)
     if "first" in located.columns:
         located = stored(located.drop("first"), "ngram-located")
     discard(members)
     opened = _opened(located, sets, percent)
-    final = components(reduce(DataFrame.union, stars).union(opened), label="ngram-links").withColumnRenamed("node", "rep")
+    final = components_of(reduce(DataFrame.union, stars).union(opened), "ngram-links").withColumnRenamed("node", "rep")
     discard(located, sets, *stars, opened)
     # Components are named by the least id of their documents. Both sides of each join are stored, so a hot key's partition can be split.
     placed = stored(classes.join(final, "rep", "left").select("k1", "k2", "name", "root"), "ngram-placed")
@@ -541,6 +544,28 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id",
     )
 
 
+def components_of(links: DataFrame, label: str) -> DataFrame:
+    """(node, root) of stored links (a, b), as ``components`` has them. At most ``FEW_LINKS`` are solved in one task: rounds of joins would be many jobs, whose plans the driver keeps."""
+    links = links.select("a", "b").where("a <> b")
+    if links.count() > FEW_LINKS:
+        return components(links, label=label)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+        nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *both], axis=1), return_inverse=True)
+        u, v = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while (root[u] != root[v]).any():
+            low = np.minimum(root[u], root[v])
+            np.minimum.at(root, root[u], low)
+            np.minimum.at(root, root[v], low)
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+    return stored(links.coalesce(1).mapInArrow(work, "node bigint, root bigint"), label)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (rep, first) that link: rows of the matrix bound what they share, then their shingles are compared."""
     pairs = stored(pairs, "ngram-pairs")
@@ -649,8 +674,8 @@ def _opened(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = stored(rows.mapInArrow(qualify, "sig bigint, lo bigint, hi bigint, own bigint, rep bigint, root bigint"), "ngram-able")
     # Groups overlap. Where those that hang together take fewer rows as one group cut into blocks, they become one.
     hubs = able.groupBy(*keys).agg(F.min("rep").alias("hub"))
-    joined = components(able.join(hubs, keys).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), label="ngram-hubs")
-    named = joined.select(F.col("node").alias("rep"), F.col("root").alias("hub"))
+    joined = stored(able.join(hubs, keys).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "ngram-hubs")
+    named = components_of(joined, "ngram-hubs").select(F.col("node").alias("rep"), F.col("root").alias("hub"))
     together = stored(able.select("rep", "root").distinct().join(named, "rep").select(F.col("hub").alias("sig"), "rep", "root"), "ngram-together")
     mixed = _mixed(together).withColumn("rows", F.expr(f"inside * ceil(outside / {BLOCK}) + outside * (ceil(outside / {BLOCK}) + ceil(inside / {BLOCK}))"))
     now = able.join(named, "rep").groupBy(F.col("hub").alias("sig")).agg(F.count("*").alias("now"))

@@ -38,3 +38,21 @@ def test_only_wanted_texts(spark):
         wanted = spark.createDataFrame([(k,) for k in some], "at long")
         got = [r["at"] for r in ngram_join.only(texts.union(texts).coalesce(1), wanted).collect()]
         assert len(got) == len(set(got)) and set(some) <= set(got) and len(got) <= len(some) + 2
+
+
+def test_components_of_few_links_in_few_jobs(spark):
+    rng = random.Random(9)
+    chain = [(k, k + 1) for k in range(-200, 200)]
+    rng.shuffle(chain)
+    rows = [*chain, *[(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(180)], (5000, 5000)]
+    sc = spark.sparkContext
+    for links in (rows, []):
+        table = common.stored(spark.createDataFrame(links, "a long, b long"), "links")
+        want = sorted(map(tuple, common.components(table).collect()))
+        sc.setJobGroup("together", "")
+        try:
+            got = sorted(map(tuple, ngram_join.components_of(table, "links").collect()))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert got == want
+    assert len(sc.statusTracker().getJobIdsForGroup("together")) <= 12
