@@ -12,6 +12,7 @@ columns, whatever their names, stay as they are up to the last stage.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         # A row's file and place there stay the same when read again; the texts needn't be written once more.
         path = free_name(docs, "path")
         paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
-        files = spark.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], f"`{path}` string, `{word}` long")
+        # From Arrow: a list would be read by Python workers of another kind, which stay beside the others.
+        files = spark.createDataFrame(pa.table([pa.array(paths, pa.string()), pa.array([k << 40 for k in range(len(paths))], pa.int64())], [path, word]))
         rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(bits)).join(F.broadcast(files), path)
         rows = rows.select(*docs.columns, (F.col(word) + F.col(bits)).alias(at))
     else:

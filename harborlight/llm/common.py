@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from harborlight.operators.graph import connected
 from harborlight.storage import discard, release, shared_folder, stored
 
-__all__ = ["components", "discard", "free_name", "joinable", "partitions", "read", "release", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
+__all__ = ["components", "discard", "free_name", "freed", "joinable", "partitions", "read", "release", "shared_folder", "sliced", "small_batches", "stored", "texts_in", "with_fields"]
 
 #: Rows and bytes that Spark hands to Python at once; long texts make larger batches a memory risk.
 BATCH_ROWS, BATCH_BYTES = "500", str(16 << 20)
@@ -58,6 +60,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    """glibc's, where that is the C library."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return what this process has allocated and freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which a task's memory goes back to the system. Python workers stay for later tasks and would keep it beside the JVM, stages without Python included."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch with its texts as a list of str (null: empty)."""
     for batch in sliced(batches, column):

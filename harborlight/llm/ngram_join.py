@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, joinable, release, sliced, small_batches, stored, with_fields
+from .common import components, discard, freed, joinable, release, sliced, small_batches, stored, with_fields
 
 BLOCK = 256
 COLUMNS = 256
@@ -64,7 +64,7 @@ FEW_LINKS = 1 << 18
 #: A shingle is common in so many of so many texts; how many common ones are remembered.
 OFTEN, PER, MOST_COMMON = 4, 150_000, 1_000_000
 #: Entries that a task packs at once, and how many bits of a signature and of a counted shingle don't travel.
-PACKED, CUT, COUNTED_CUT = 1 << 22, 16, 24
+PACKED, CUT, COUNTED_CUT = 1 << 20, 16, 24
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -199,6 +199,7 @@ def buckets_for(rows: int) -> int:
 def _by_bucket(df: DataFrame, work: Callable[[list[tuple]], pa.RecordBatch], fields: str) -> DataFrame:
     """work on the rows (as tuples of Python values) of each bucket."""
 
+    @freed
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
@@ -239,6 +240,7 @@ def common_shingles(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     """
     buckets, least = buckets_for(rows), max(OFTEN, OFTEN * rows // PER)
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, _Seen()
 
@@ -304,6 +306,7 @@ def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 def profile(docs: DataFrame, n: int) -> DataFrame:
     """Per row (doc_id, text, at): doc_id, at, n_shingles, k1, k2 (the set's hash)."""
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             with np.errstate(over="ignore"):
@@ -323,6 +326,7 @@ def listing(texts: DataFrame, percent: int, n: int, common: np.ndarray, buckets:
     set in a table.
     """
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, owners, size = _Seen(), [], [], 0
 
@@ -399,6 +403,7 @@ def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     blobs = wanted.select("at").mapInArrow(listed, "x binary").collect()
     known = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in blobs)]))
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -418,6 +423,7 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
     Texts whose set isn't that of the key are left out.
     """
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             with np.errstate(over="ignore"):
@@ -550,6 +556,7 @@ def components_of(links: DataFrame, label: str) -> DataFrame:
     if links.count() > FEW_LINKS:
         return components(links, label=label)
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
         nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *both], axis=1), return_inverse=True)
@@ -647,6 +654,7 @@ def _opened(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if key is not None:
             yield key, left, None if key[1] == key[2] else right
 
+    @freed
     def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
@@ -664,6 +672,7 @@ def _opened(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield told()
         yield told()
 
+    @freed
     def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, left, right in blocks_of(batches):
             found = [] if not left or right == [] else open_blocks([(r, c, x.view(np.uint64)) for r, c, x in left], right and [(r, c, x.view(np.uint64)) for r, c, x in right], percent)

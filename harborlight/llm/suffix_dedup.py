@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, partitions, release, sliced, small_batches, stored, with_fields
+from .common import discard, free_name, freed, partitions, release, sliced, small_batches, stored, with_fields
 
 LENGTH = 400
 NARROW = 32
@@ -216,6 +216,7 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows, source = [], []
@@ -239,6 +240,7 @@ def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     places = stored(places, "suffix-places")
     one = texts.join(places.select("u1", "u2").hint("merge"), ["u1", "u2"], "left_semi").groupBy("u1", "u2").agg(F.first("text").alias("text"))
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "g", "n", "hot", "low", "high", "left", "right"]
         kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int32()] * 2 + [pa.binary()] * 2
@@ -259,6 +261,7 @@ def _narrow_rows(contexts: DataFrame, length: int) -> DataFrame:
     A block's suffix starts ``shift`` bytes before the context's; low and high count from there.
     """
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "g", "n", "shift", "h2", "g2", "low", "high", "left", "right"]
         kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()] * 2
@@ -285,6 +288,7 @@ def _sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
     # The splitters are sampled by the range partitioner; more buckets than tasks run at once keep each small.
     dealt = rows.repartitionByRange(max(partitions(spark), 1), "key").sortWithinPartitions("key").select("key", "h", "g", "n", "low", "high", "left", "right")
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -390,6 +394,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     spans = repeated_spans(docs, id_col, text_col, length).hint("merge")
     rows = rows.select("u1", "u2", "text", "row.doc_id").join(spans, ["u1", "u2"], "left").select("doc_id", "text", "spans")
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
@@ -426,6 +431,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         cut = [s for s in merged(spans) if not least_words or words_in(raw, *s) >= least_words]
         return without(raw, cut).decode("utf-8", "ignore") if cut else text
 
+    @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, at):
             spans = batch.column(len(names)).to_pylist()
