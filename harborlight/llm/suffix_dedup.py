@@ -12,7 +12,7 @@ every window.
    windows that it stands for). Neighbours with one context (a periodic text has
    one per period) are one row with a count. Contexts are counted by a hash
    aggregate with map-side combining: copies become one row with a count.
-   Anchors that occur once are done.
+   Anchors that occur once are done and dropped before that.
 2. For the rest, one context of each kind is cut from the texts. Sampled
    splitters range-partition the suffixes by their leading bytes. Splitters are
    whole keys, so suffixes that agree in the key never fall on two sides of a
@@ -237,7 +237,7 @@ def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     Of rows that are repeated whole one is kept.
     """
     places = wanted.groupBy("rep.u1", "rep.u2").agg(F.collect_list(F.struct("h", "g", "n", "hot", "rep.at", "rep.lo", "rep.hi")).alias("places"))
-    places = stored(places, "suffix-places")
+    places = stored(places, "suffix-wanted")
     one = texts.join(places.select("u1", "u2").hint("merge"), ["u1", "u2"], "left_semi").groupBy("u1", "u2").agg(F.first("text").alias("text"))
 
     @freed
@@ -315,14 +315,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be over {NARROW} bytes")
     small_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col).select("u1", "u2", "text").where(F.octet_length("text") >= length)
-    places = stored(_anchor_rows(texts, length), "suffix-anchors")
+    every = stored(_anchor_rows(texts, length), "suffix-anchors")
+    # Anchors that occur once are done, and their places go before contexts are made.
+    # Stored, so that in the joins both sides come from an exchange of their own and a hot key's partition can be split.
+    again = stored(every.groupBy("h").agg(F.sum("times").alias("total")).where("total > 1").select("h"), "suffix-again")
+    release(docs.sparkSession)
+    places = stored(every.join(again.hint("merge"), "h", "left_semi"), "suffix-places")
+    discard(every, again)
+    release(docs.sparkSession)
     contexts = places.groupBy("h", "g").agg(F.sum("times").alias("n"), F.min(F.struct("u1", "u2", "at", "lo", "hi")).alias("rep"))
     contexts = stored(contexts, "suffix-contexts")
-    # Stored, so that in the joins both sides come from an exchange of their own and a hot key's partition can be split.
-    totals = stored(contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("h", "kinds"), "suffix-shared")
+    totals = stored(contexts.groupBy("h").agg(F.count("*").alias("kinds")), "suffix-shared")
     release(docs.sparkSession)
     shared = contexts.join(totals.hint("merge"), "h").select("h", "g", "n", "rep", (F.col("kinds") > WIDE).alias("hot"))
     cut = stored(_cut_contexts(texts, shared, length), "suffix-cut")
+    discard(contexts, totals)
     release(docs.sparkSession)
 
     # Anchors in very many contexts, by blocks and then by single windows.
@@ -330,6 +337,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = stored(split.groupBy("h2", "g2").agg(F.sum("n").alias("n"), F.min(F.struct("h", "g", "shift")).alias("rep")), "suffix-kinds")
     agree = stored(kinds.groupBy("h2").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("h2", "kinds"), "suffix-agree")
     blocks = stored(split.drop("n").join(kinds.join(agree.hint("merge"), "h2").hint("merge"), ["h2", "g2"]), "suffix-blocks")
+    discard(split, kinds, agree)
     one = blocks.where((F.col("h") == F.col("rep.h")) & (F.col("g") == F.col("rep.g")) & (F.col("shift") == F.col("rep.shift")))
     windows = one.where(F.col("kinds") > WIDE).select("h2", "g2", "n", F.col("high").alias("top"), F.concat("left", "right").alias("both"), F.explode(F.sequence("low", "high")).alias("d"))
     window = F.expr(f"substring(both, top - d + 1, {length})")
@@ -346,8 +354,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row per context: a context is either hot or sorted whole.
     back = back.groupBy("h", "g").agg(F.flatten(F.collect_list("offsets")).alias("offsets"))
     found = stored(_sorted_buckets(direct, length).union(back), "suffix-found")
+    discard(cut, blocks)
+    release(docs.sparkSession)
     spans = stored(_spans(places, found, length), "suffix-spans")
-    discard(places, contexts, totals, cut, split, kinds, agree, blocks, found)
+    discard(places, found)
     release(docs.sparkSession)
     return spans
 
@@ -372,6 +382,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.xxhash64(F.col(id_col), text).alias("u1"), F.xxhash64(text, F.lit("second"), F.col(id_col)).alias("u2"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
 
 
+#: Bytes of the longest run of ranges that are sorted by their starts.
+_LONGEST = """aggregate(spans, struct(-1L as start, -1L as end, 0L as most),
+    (run, s) -> if(s.start <= run.end, struct(run.start as start, greatest(run.end, s.end) as end, run.most as most), struct(s.start as start, s.end as end, greatest(run.most, run.end - run.start) as most)),
+    run -> greatest(run.most, run.end - run.start))"""
+
+
 def merged(spans: list | None) -> list[tuple[int, int]]:
     """Maximal runs of the union of ranges that are sorted by their starts."""
     out: list[list[int]] = []
@@ -388,25 +404,46 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = 0, least_words: int = 0) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``passage``, text follows: as ``removed`` gives it for strings of that
+    many bytes (at most ``length``) and runs of ``least_words``. The columns before
+    it are of the rule of ``length`` bytes all the same.
+    """
+    if passage > length:
+        raise ValueError(f"passage must be at most {length} bytes")
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    spans = repeated_spans(docs, id_col, text_col, length).hint("merge")
-    rows = rows.select("u1", "u2", "text", "row.doc_id").join(spans, ["u1", "u2"], "left").select("doc_id", "text", "spans")
+    rows = rows.select("u1", "u2", "text", "row.doc_id", F.col("row.text").isNull().alias("none"))
+    if passage:
+        passages = repeated_spans(docs, id_col, text_col, passage)
+        # A string that repeats lies in one run of shorter ones that do, so only texts with a run of length bytes can lose any.
+        long = passages.where(f"{_LONGEST} >= {length}").select("u1", "u2").hint("merge")
+        docs = stored(rows.join(long, ["u1", "u2"], "left_semi").select("doc_id", "text"), "suffix-long")
+        release(docs.sparkSession)
+        spans = repeated_spans(docs, "doc_id", "text", length).hint("merge")
+        discard(docs)
+    else:
+        spans = repeated_spans(docs, id_col, text_col, length).hint("merge")
+    rows = rows.join(spans, ["u1", "u2"], "left")
+    if passage:
+        rows = rows.join(passages.select("u1", "u2", F.col("spans").alias("passages")).hint("merge"), ["u1", "u2"], "left")
+    rows = rows.select("doc_id", "text", "none", "spans", *["passages"] * bool(passage))
 
     @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            out, texts = [], batch.column("text").to_pylist()
+            for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True):
                 raw, spans = t.encode(), merged(s)
                 out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array([x[k] for x in out], pa.int64()) for k in range(3)], pa.array([x[3] for x in out], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+            columns = [batch.column("doc_id"), *[pa.array([x[k] for x in out], pa.int64()) for k in range(3)], pa.array([x[3] for x in out], pa.string())]
+            if passage:
+                cut = zip(texts, batch.column("none").to_pylist(), batch.column("passages").to_pylist(), strict=True)
+                columns.append(pa.array([None if none else cleaned(t, s, least_words) if s else t for t, none, s in cut], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * bool(passage)])
 
-    return rows.mapInArrow(work, with_fields(rows, "doc_id", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
+    return rows.mapInArrow(work, with_fields(rows, "doc_id", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * bool(passage)))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -417,6 +454,13 @@ def words_in(raw: bytes, start: int, end: int) -> int:
     return sum((m.start() > start or start == 0 or raw[start - 1 : start].isspace()) and (m.end() < end or end == len(raw) or raw[end : end + 1].isspace()) for m in _WORD.finditer(raw, start, end))
 
 
+def cleaned(text: str, spans: list | None, least_words: int) -> str:
+    """A text without the runs of its sorted ranges, those of fewer whole words aside."""
+    raw = text.encode()
+    cut = [s for s in merged(spans) if not least_words or words_in(raw, *s) >= least_words]
+    return without(raw, cut).decode("utf-8", "ignore") if cut else text
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """docs with repeated byte strings cut out of its texts; every other column, and null texts, as they are.
 
@@ -426,16 +470,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = keyed(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col, length).hint("merge"), ["u1", "u2"], "left").select("row.*", F.col("spans").alias(free_name(docs, "spans")))
     names, at = docs.columns, docs.columns.index(text_col)
 
-    def clean(text: str, spans: list | None) -> str:
-        raw = text.encode()
-        cut = [s for s in merged(spans) if not least_words or words_in(raw, *s) >= least_words]
-        return without(raw, cut).decode("utf-8", "ignore") if cut else text
-
     @freed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, at):
             spans = batch.column(len(names)).to_pylist()
-            texts = [clean(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            texts = [cleaned(t, s, least_words) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))], names)
 
     return rows.mapInArrow(work, docs.schema)

@@ -104,6 +104,31 @@ class TestSuffixes:
         assert all(many not in got[i] and len(got[i]) < 190 for i in (2, 3))
         assert suffix_dedup.words_in(b"ab cd ef", 1, 8) == 2 and suffix_dedup.words_in(b"ab cd ef", 0, 7) == 2
 
+    @pytest.mark.parametrize("wide", [256, 2])
+    def test_query_has_the_text_without_passages(self, spark, monkeypatch, tmp_path, wide):
+        """Passages of 51 words and under 400 bytes go from the text; the columns of 400 bytes are as without it."""
+        from harborlight.llm import queries
+
+        monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+        rng = random.Random(8)
+        passages = [" ".join(some_text(rng, n, "abcdefgh") for _ in range(51)) for n in (3, 4, 5, 6, 8, 11)]
+        own = lambda: " ".join(some_text(rng, rng.randint(1, 9), "stuvwxé") for _ in range(rng.randint(0, 80)))
+        texts = [f"{own()} {p} {own()}" for p in passages * 4] + [own() for _ in range(20)] + repeating_texts(rng)
+        ids = [None if i == 5 else i // 2 for i in range(len(texts))]
+        rows = list(zip(ids, texts, strict=True))
+        rows += rows[:3]
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        got = queries.op1_suffix_dedup(spark, str(tmp_path))
+        assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        raws, want = [(t or "").encode() for _, t in rows], []
+        for (i, t), raw, runs, short in zip(rows, raws, repeated_bytes(raws, 400), repeated_bytes(raws, 200), strict=True):
+            cut = [(a, b) for a, b in short if suffix_dedup.words_in(raw, a, b) >= 50]
+            text = t if t is None else suffix_dedup.without(raw, cut).decode("utf-8", "ignore")
+            want.append((i, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(suffix_dedup.without(raw, runs)).hexdigest(), text))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        assert not any(p in t for p in passages for *_, t in want if t)
+        assert any(r[2] == 0 and len(r[5] or "") < len(t or "") for r, (_, t) in zip(want, rows, strict=True))
+
     def test_order_is_lexicographic(self):
         rng = np.random.default_rng(2)
         for high in (1, 3, 1 << 40):
